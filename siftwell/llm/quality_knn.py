@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import crc_fold, ids_and_texts, small_batches, texts
+from siftwell.llm.common import crc_fold, ids_and_texts, small_batches, text_of, texts
 from siftwell.llm.toxicity import training_sample
 
 SHAPE_TERMS = 1024
@@ -31,6 +31,7 @@ SHARPNESS = 8
 SAMPLE = {1: 3500, 0: 1500}
 FOLDS, HELD_OUT = 4, 2
 BLOCK = 512
+SCORE = "_quality_score"
 
 SHAPES = np.zeros(256, np.uint8)
 SHAPES[:] = np.arange(256)
@@ -126,37 +127,40 @@ def fit(sample_texts: list[bytes], labels: np.ndarray) -> Space:
     return space
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = 0.7) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score (0 to 1), predicted.
-
-    Null and empty texts are scored by the measures of an empty text. A null doc_id isn't held out. Repeated rows each
-    get the score of their text. An empty table gives no rows; without labelled rows every score is 1."""
+def with_scores(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """The rows of docs, all columns, with the score in a last column SCORE. Nothing is shuffled."""
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "quality", folds, held_out, SAMPLE)
     space = fit([r["text"].encode("utf-8", "replace") for r in sample], np.array([r["label"] for r in sample])) if sample else None
     sent = docs.sparkSession.sparkContext.broadcast(space)  # bounded by the sample's parameter
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = texts(batch.column(1))
+            found = texts(batch.column(batch.num_columns - 1))
             parts = [found[k : k + BLOCK] for k in range(0, len(found), BLOCK)]
             scores = [own.vote(own.project(term_counts(p))) if own else np.ones(len(p)) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], ["doc_id", "score"])
+            scores = pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], schema.names)
 
-    scored = ids_and_texts(docs).mapInArrow(run, SCHEMA)
+    return docs.select("*", text_of(docs).alias(SCORE)).mapInArrow(run, schema)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = 0.7) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score (0 to 1), predicted.
+
+    Null and empty texts are scored by the measures of an empty text. A null doc_id isn't held out. Repeated rows each
+    get the score of their text. An empty table gives no rows; without labelled rows every score is 1."""
+    scored = with_scores(ids_and_texts(docs), labels, folds, held_out)
     return scored.select(
         "doc_id",
         F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= threshold).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose document isn't rejected; all columns."""
-    bad = score_quality(docs, labels, threshold=threshold).where("predicted = 0").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_gone_id"], "left_anti")
+    """The rows of docs that aren't rejected; all columns."""
+    return with_scores(docs, labels, FOLDS, HELD_OUT).where(F.col(SCORE) >= threshold).drop(SCORE)
