@@ -156,6 +156,10 @@ class Page:
         self.root = builder.root
         self.root.drop(lambda n: n.tag in ("script", "style", "noscript"))
 
+    def body(self) -> Node | None:
+        """The body, or all of a page that has something but doesn't say where its body begins."""
+        return next(iter(self.root.all("body")), self.root if self.root.parts else None)
+
     # titles
 
     def title(self) -> str:
@@ -206,7 +210,7 @@ class Page:
             for node in self.root.at(place):
                 if len(text := clean_lines(node)) > 100 and not navigation(text):
                     return text
-        body = next(iter(self.root.all("body")), None)
+        body = self.body()
         if body is None:
             return ""
         texts = [t for n in body.all("div")[:50] if not navigation(t := clean_lines(n))]
@@ -216,11 +220,11 @@ class Page:
     # roles
 
     def long_parts(self, size: int) -> int:
-        return sum(len(n.text()) > size for b in self.root.all("body")[:1] for n in b.all("p", "div"))
+        return sum(len(n.text()) > size for n in (self.body() or self.root).all("p", "div"))
 
     def like_list(self, title: str) -> bool:
         hrefs = [n.attrs["href"].lower() for n in self.root.all("a") if "href" in n.attrs]
-        dates = re.findall(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}", self.root.text("\n")) if self.root.all("body") else []
+        dates = re.findall(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}", self.root.text("\n"))
         evidence = 2 * (len(self.root.all("li")) > 12) + 3 * (len(dates) >= 5) + 2 * (sum(bool(re.search("detail|content|info|article|read|view", h)) for h in hrefs) >= 5)
         return evidence + 2 * (self.long_parts(150) < 2) + 3 * (title in COLUMNS) >= 5
 
@@ -228,7 +232,7 @@ class Page:
         return bool(self.publish_time()) or self.long_parts(100) >= 2 or any(self.root.at(p) for p in TEXT_PLACES)
 
     def like_portal(self) -> bool:
-        return len([n for n in self.root.all("a") if "href" in n.attrs]) > 80 or bool(self.root.all("body")) and self.long_parts(200) < 2
+        return len([n for n in self.root.all("a") if "href" in n.attrs]) > 80 or self.body() is not None and self.long_parts(200) < 2
 
     def role(self) -> str:
         lower, title = self.url.lower(), self.title()

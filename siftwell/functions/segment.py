@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = re.compile(r"[一-鿿]+|[^\W一-鿿]+")
 MEANINGFUL = re.compile(r"[^\d\W_]|[^\W\d]")
@@ -24,7 +25,7 @@ def pairs(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def segments(text: pd.Series) -> pd.Series:
     try:
         from jieba import lcut as cut

@@ -65,7 +65,7 @@ class Index:
 
     def save(self, path: str) -> None:
         """Parquet under path, as batch 0; see append()."""
-        write_batch(self.docs, self.postings, self.doc_len, path, 0, "overwrite")
+        write_batch(self.docs, self.postings, self.doc_len, path, 0)
         refresh(self.docs.sparkSession, path)
 
     @classmethod
@@ -95,18 +95,17 @@ def build(docs: DataFrame, stop_words: Iterable[str] = (), analyze: Analyzer | N
     return Index(with_defaults(docs), postings, term_statistics(postings), lengths, statistics_of(lengths))
 
 
-def write_batch(docs: DataFrame, postings: DataFrame, lengths: DataFrame, path: str, batch: int, mode: str) -> None:
-    """Postings are split by field and clustered by term, so that a term's lookup reads few row groups."""
+def write_batch(docs: DataFrame, postings: DataFrame, lengths: DataFrame, path: str, batch: int) -> None:
+    """A folder for each batch. Postings are clustered by field and term, so that a term's lookup reads few row groups."""
     clustered = postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-    for name, rows, by in (("docs", docs, ["batch"]), ("postings", clustered, ["batch", "field"]), ("doc_len", lengths, ["batch"])):
-        out = rows.withColumn("batch", F.lit(batch)).write.mode(mode).partitionBy(*by)
-        (out.option("partitionOverwriteMode", "dynamic") if batch else out).parquet(f"{path}/{name}")
+    for name, rows in (("docs", docs), ("postings", clustered), ("doc_len", lengths)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
 
 
 def refresh(spark: SparkSession, path: str) -> None:
     """Rebuild the statistics of terms and corpus from what is saved."""
     stats = term_statistics(spark.read.parquet(f"{path}/postings"))
-    stats.repartitionByRange("field", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_stats")
+    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
     statistics_of(spark.read.parquet(f"{path}/doc_len")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
 
@@ -114,7 +113,7 @@ def append(spark: SparkSession, path: str, docs: DataFrame, batch: int, stop_wor
     """Add documents with new ids to a saved index, as a batch with a number from 1. A batch that comes again replaces
     itself, so a job that was broken off can be run once more."""
     rows = analyzed(docs, analyze or analyzer(stop_words))
-    write_batch(with_defaults(docs), postings_of(rows), lengths_of(rows), path, batch, "overwrite")
+    write_batch(with_defaults(docs), postings_of(rows), lengths_of(rows), path, batch)
     refresh(spark, path)
 
 
