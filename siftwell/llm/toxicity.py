@@ -20,11 +20,11 @@ from siftwell.llm.common import crc_fold, ids_and_texts, small_batches
 GRAMS = range(2, 7)
 HASH_BITS = 20
 #: At most so many training rows of each label, by the order of a hash of their ids.
-SAMPLE = {1: 800, 0: 1200}
+SAMPLE = {1: 1200, 0: 2400}
 #: Features that stay: those whose log ratio, weighed by how often it decides, is the largest.
-KEPT = 12_000
+KEPT = 3_000
 LEAST_TEXTS = 3
-STEPS, RATE, RIDGE = 200, 0.05, 3e-4
+STEPS, RATE, RIDGE = 200, 0.05, 1e-3
 FOLDS, HELD_OUT = 5, 0
 
 
