@@ -40,11 +40,12 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: int =
     by_prefix = keys.groupBy("n", "prefix").agg(F.count("*").alias("rows"))
     by_length = by_prefix.groupBy("n").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
     open_keys = by_prefix.join(by_length, "n", "left_semi").where("rows > 1").select("n", "prefix")
-    survivors = keys.join(open_keys, ["n", "prefix"], "left_semi")
     if digest_all:
-        hashed = survivors
+        hashed = keys
     else:
-        full = rows.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi")
+        survivors = keys.join(open_keys, ["n", "prefix"], "left_semi")
+        ids = survivors.select(F.col("doc_id").alias("open_id")).distinct()
+        full = rows.join(ids, rows["doc_id"].eqNullSafe(ids["open_id"]), "left_semi")
         hashed = cut(
             full.select(
                 "doc_id",
@@ -57,14 +58,15 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: int =
         hashed.groupBy("n", "prefix", "sha")
         .agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"))
         .where("group_size > 1")
+        .join(open_keys, ["n", "prefix"], "left_semi")
     )
     if digest_all:
         found = keys.join(groups, ["n", "prefix", "sha"], "left")
     else:
-        in_group = hashed.join(groups, ["n", "prefix", "sha"]).select("doc_id", "sha", "group_size", "keep_id").distinct()
-        found = keys.join(in_group, keys["doc_id"].eqNullSafe(in_group["doc_id"]), "left").select(
-            keys["doc_id"], in_group["sha"], in_group["group_size"], in_group["keep_id"]
-        )
+        at = ("doc_id", "n", "prefix")
+        in_group = hashed.join(groups, ["n", "prefix", "sha"]).groupBy(*at).agg(F.min(F.struct("keep_id", "sha", "group_size")).alias("g"))
+        on = [keys[c].eqNullSafe(in_group[c]) for c in at]
+        found = keys.join(in_group, on, "left").select(keys["doc_id"], "g.keep_id", "g.sha", "g.group_size")
     keep_id = F.coalesce("keep_id", "doc_id")
     return found.select(
         "doc_id",
