@@ -4,7 +4,7 @@ The order of a static frontier is exact; what a running crawl adds comes in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import urls
@@ -40,27 +40,38 @@ def source_order(rows: DataFrame) -> DataFrame:
     return first.select("source_site", F.row_number().over(Window.orderBy("first_seq", "source_site")).alias("source_ordinal"))
 
 
+#: Orders are counted in stretches of so many arrivals or turns, so that a source with most of the queue is dealt out.
+STRETCH = 100_000
+TURNS = 1000
+
+
+def numbered(rows: DataFrame, name: str, stretches: list[Column], order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Adds name: 1, 2, ... in the order of the stretches and, in each, of the columns `order`; for each value of the
+    columns `within` anew. Stretches are numbered one by one and added up: only their sizes are ordered together."""
+    within = within or []
+    marks = [f"_s{k}" for k in range(len(stretches))]
+    rows = rows.select("*", *(s.alias(m) for s, m in zip(stretches, marks)))
+    sizes = rows.groupBy(*within, *marks).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(*within).orderBy(*marks)) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy(*within, *marks).orderBy(*order))
+    placed = rows.withColumn("_k", place).join(sizes.select(*within, *marks, so_far.alias("_before")), [*within, *marks])
+    return placed.withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before", *marks)
+
+
 def round_robin(rows: DataFrame, depleted: DataFrame | None = None) -> DataFrame:
     """Adds source_ordinal, turn, and position of the balanced schedule: one of each source in turn, by priority and arrival within it."""
     if depleted is not None:
         rows = rows.join(depleted.select("source_site"), "source_site", "left_anti")
-    turn = F.row_number().over(Window.partitionBy("source_site").orderBy("priority", "seq", "norm_url"))
-    rows = rows.withColumn("turn", turn).join(source_order(rows), "source_site")
-    return numbered(rows, "turn", "source_ordinal")
+    arrivals = F.floor(F.col("seq") / STRETCH)
+    rows = numbered(rows, "turn", [F.col("priority"), arrivals], ["seq", "norm_url"], ["source_site"])
+    rows = rows.join(source_order(rows), "source_site")
+    return numbered(rows, "position", [F.floor(F.col("turn") / TURNS)], ["turn", "source_ordinal"])
 
 
 def by_priority(rows: DataFrame) -> DataFrame:
     """Adds source_ordinal and position of the unbalanced schedule: priority, then the order of sources, then arrival."""
-    return numbered(rows.join(source_order(rows), "source_site"), "priority", "source_ordinal", "seq", "norm_url")
-
-
-def numbered(rows: DataFrame, first: str, *more: str) -> DataFrame:
-    """position: 1, 2, ... in the order of the columns, counted per value of the first and added up, so that no task
-    orders the whole table."""
-    sizes = rows.groupBy(first).agg(F.count("*").alias("_n"))
-    before = sizes.select(first, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(first).orderBy(*more))
-    return rows.withColumn("_k", within).join(before, first).withColumn("position", F.col("_before") + F.col("_k")).drop("_k", "_before")
+    rows = rows.join(source_order(rows), "source_site")
+    return numbered(rows, "position", [F.col("priority"), F.col("source_ordinal"), F.floor(F.col("seq") / STRETCH)], ["seq", "norm_url"])
 
 
 def quota(total: int | None, ratio: float, active: int) -> int | None:

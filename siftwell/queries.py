@@ -476,7 +476,7 @@ QUEUE = r"""norm AS (SELECT page_id AS seq, CAST(page_id % 4 AS INTEGER) AS prio
 
 @query(
     f"""WITH {QUEUE}, turns AS (SELECT q.*, row_number() OVER (PARTITION BY source_site ORDER BY priority, seq, norm_url) AS turn FROM queue q)
-SELECT norm_url, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (ORDER BY turn, source_ordinal) AS BIGINT) AS position FROM turns t JOIN sources s ON s.source_site = t.source_site"""
+SELECT norm_url, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (ORDER BY turn, source_ordinal) AS BIGINT) AS position FROM turns t JOIN sources s ON s.source_site = t.source_site"""
 )
 def frontier_round_robin(spark, sf_dir):
     return frontier.round_robin(page_queue(spark, sf_dir)).select("norm_url", "turn", "position")
