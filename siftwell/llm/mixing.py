@@ -22,6 +22,8 @@ PERIOD = 1000
 BLOCK_DOCS = 8
 #: Default weights: shares of documents to this power.
 TEMPERATURE = 0.5
+#: A plan with more sources is joined by shuffling, not sent to all executors.
+SENT_SOURCES = 10_000
 #: Ranks within a source are counted in parts of about so many rows.
 PART_ROWS = 5000
 
@@ -73,7 +75,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     """Per row of docs: doc_id, source, block (of its source, from 0), slot, release, deadline, position.
 
     Reading by position gives the mixture. weights: by source; sources that it lacks get none and are refused. Without
-    it they are the numbers of documents to the power TEMPERATURE. Null and empty sources are one. A null doc_id is
+    it they are the numbers of documents to the power TEMPERATURE. With more sources than `period` the period is as long
+    as there are sources. Null and empty sources are one. A null doc_id is
     ordered as an empty one; repeated rows follow each other. An empty table gives no rows.
 
     Only one row per source comes to the driver. Ranks are counted within parts of a source, so a hot one is dealt out."""
@@ -84,6 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     elif missing := counts.keys() - weights.keys():
         raise ValueError(f"no weights for {sorted(missing)[:5]}")
     weights = {s: w for s, w in weights.items() if s in counts}
+    period = max(period, len(weights))
     plan = [{"source": s, "slots": x} for s, x in schedule(slots_of(weights, period)).items()] if weights else []
     plan_rows = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<source:string,slots:array<long>>>")))
     parts = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / PART_ROWS))))
@@ -93,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     before = sizes.select("source", "part", (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
     in_part = F.row_number().over(Window.partitionBy("source", "part").orderBy("order", "doc_id"))
     ranked = rows.withColumn("in_part", in_part).join(before, ["source", "part"]).withColumn("rank", F.col("before") + F.col("in_part") - 1)
-    planned = ranked.join(F.broadcast(plan_rows), "source")  # at most `period` slots in all
+    planned = ranked.join(F.broadcast(plan_rows) if len(plan) <= SENT_SOURCES else plan_rows, "source")  # `period` slots in all
     block = F.floor(F.col("rank") / block_docs).cast("long")
     k, own = F.pmod(F.col("block"), F.size("slots").cast("long")), F.size("slots").cast("long")
     turn = F.expr(f"(block DIV size(slots)) * {period}L")

@@ -41,6 +41,14 @@ def test_deviation_while_all_last(spark):
         mixing.mix(rows, {"hot": 1.0})
 
 
+def test_more_sources_than_slots(spark):
+    rows = spark.range(60).selectExpr("id AS doc_id", "concat('s', id % 25) AS source")
+    found = mixing.mix(rows, period=10).toPandas()
+    assert len(found) == 60 and found["position"].is_unique
+    assert (found["release"] <= found["slot"]).all() and (found["slot"] < found["deadline"]).all()
+    assert found["slot"].nunique() == found.groupby("source")["block"].nunique().sum() == 25
+
+
 def test_odd_rows3(odd, empty):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count() and {r["source"] for r in found} == {"", "a", "b"}
