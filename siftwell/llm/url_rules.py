@@ -3,8 +3,9 @@
 FP-growth finds frequent combinations of URL tokens together with a label. A combination becomes a rule if its
 support and its confidence in the label suffice and no part of it is as good. The rules lie in an inverted index under
 their rarest token, and a URL is compared with the rules that its tokens find there. For the query, the URLs that
-the fixed rules judge are the labelled ones. Confidence is taken over all URLs: those without a label count against
-a rule, since the fixed rules label only a part of the hosts and paths, and not at random."""
+the fixed rules judge are the labelled ones, and only they are mined: the others are what mined rules are for. Tokens
+that say no more than the fixed rules' own hosts and paths are left out, since they would only repeat which URLs have
+a label."""
 
 from __future__ import annotations
 
@@ -63,8 +64,24 @@ def tokens(host: Column, path: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def general(tokens: Column, rules=RULES) -> Column:
+    """The tokens that can tell something beyond the fixed rules: no domains above, at or below their hosts, no words of
+    these and not the first part of their paths."""
+    hosts = sorted({h for _, h, _ in rules})
+    told = {f"w:{w}" for h in hosts for w in h.replace("-", ".").split(".")} | {f"p:{p.split('/')[1]}" for _, _, p in rules if p.count("/") and p != "/"}
+
+    def beyond(x: Column) -> Column:
+        found = ~x.isin(sorted(told)) if told else F.lit(True)
+        domain = F.concat(F.lit("."), F.substring(x, 3, 1 << 30))
+        for h in hosts:
+            found = found & ~(x.startswith("d:") & (domain.endswith("." + h) | F.lit("." + h).endswith(domain)))
+        return found
+
+    return F.filter(tokens, beyond)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: tokens (distinct), label (may be null). Rules: antecedent, key (its rarest token), verdict, confidence, support."""
+    """labelled: tokens (distinct), label (rows where it is null count against every rule). Rules: antecedent, key (its rarest token), verdict, confidence, support."""
     label = F.when(F.col("label").isNotNull(), F.array(F.concat(F.lit("label:"), F.col("label")))).otherwise(F.array().cast("array<string>"))
     items = labelled.select(F.concat(F.col("tokens"), label).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).freqItemsets
@@ -113,7 +130,8 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
     text, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", text.alias("rule"), verdict.alias("fixed_verdict"), tokens(F.col("host"), F.col("path")).alias("tokens"))
     rows = rows.withColumn("signature", F.array_join("tokens", " "))
-    mined = mine(rows.where("size(tokens) > 0").select("tokens", F.col("fixed_verdict").alias("label")), min_support, min_confidence)
+    labelled = rows.where("fixed_verdict IS NOT NULL").select(general(F.col("tokens"), rules).alias("tokens"), F.col("fixed_verdict").alias("label"))
+    mined = mine(labelled, min_support, min_confidence)
     signatures = rows.groupBy("signature").agg(F.first("tokens").alias("tokens"))
     best = match(signatures, mined)
     return rows.join(best, "signature", "left").select(

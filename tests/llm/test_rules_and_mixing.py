@@ -98,6 +98,16 @@ def test_odd_urls(spark):
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_mined_rules_decide(spark):
+    """They judge URLs that no fixed rule judges, by tokens that these don't name."""
+    urls = ["http://win.a.net/es/1"] * 6 + ["http://win.a.net/de/1"] * 30 + ["http://win.b.org/1", "http://ok.c.net/de/1", "http://ok.d.com/x/1", "http://www.win-ok.e.org/en/"]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    found = {urls[r["page_id"]]: (r["rule"], r["verdict"], r["mined_rule"]) for r in url_rules.judge_urls(pages, min_support=0.1).collect()}
+    assert found["http://win.a.net/de/1"] == found["http://win.b.org/1"] == (None, "block", "w:win")
+    assert found["http://ok.c.net/de/1"] == (None, "allow", "w:ok")
+    assert {m for _, _, m in found.values()} == {"w:win", "w:ok"}
+
+
 # --- licences
 
 
