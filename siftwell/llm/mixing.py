@@ -3,8 +3,9 @@
 Each source's documents, in the order of a hash of their ids, form blocks. Target weights become whole numbers of
 slots in a period. The k-th block of a source with a of the period's p slots is released at floor((k - 1) p / a) and
 due at ceil(k p / a); earliest deadline first meets all of these, so while no source has run out, each has had its
-share of any number of slots to within less than one block. The schedule repeats from period to period, so one period
-is planned once, and every block finds its slot by arithmetic. When a source runs out its slots stay empty and the
+share of any number of slots to within less than one block. The period is doubled until the whole numbers themselves
+are within one block of the weights over as many slots as there are blocks. The schedule repeats from period to period,
+so one period is planned once, and every block finds its slot by arithmetic. When a source runs out its slots stay empty and the
 others go on in their proportions. No document is dropped or repeated."""
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ PERIOD = 1000
 BLOCK_DOCS = 8
 #: Default weights: shares of documents to this power.
 TEMPERATURE = 0.5
-#: A plan with more sources is joined by shuffling, not sent to all executors.
-SENT_SOURCES = 10_000
+#: A plan of more slots is joined by shuffling, not sent to all executors.
+SENT_SLOTS = 100_000
 #: Ranks within a source are counted in parts of about so many rows.
 PART_ROWS = 5000
 
@@ -40,12 +41,33 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     while sum(out.values()) < period:
         out[by_remainder[k % len(out)]] += 1
         k += 1
-    while sum(out.values()) > period:
-        most = max(sorted(out), key=lambda s: out[s])
-        out[most] -= 1
+    over = sum(out.values()) - period
+    above = [(share[s] - x, s) for s, x in out.items() if x > 1]
+    heapq.heapify(above)
+    for _ in range(over):  # from the one that is most above its share
+        _, s = above[0]
+        out[s] -= 1
+        if out[s] > 1:
+            heapq.heapreplace(above, (share[s] - out[s], s))
+        else:
+            heapq.heappop(above)
     return out
 
 
+def fitting_slots(weights: dict[str, float], blocks: int, period: int = PERIOD) -> dict[str, int]:
+    """Slots in the shortest period, doubled from the given one, in which no source's share of `blocks` slots is more
+    than one block off its weight's."""
+    total = sum(weights[s] for s in sorted(weights))
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    while True:
+        if len(weights) <= period:
+            slots = slots_of(weights, period)
+            if all(abs(x / period - weights[s] / total) * blocks <= 1 for s, x in slots.items()):
+                return slots
+        period *= 2
+
+
 def schedule(slots: dict[str, int]) -> dict[str, list[int]]:
     """For each source the slots of one period that its blocks get: earliest deadline first, ties by name."""
     period = sum(slots.values())
@@ -75,8 +97,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     """Per row of docs: doc_id, source, block (of its source, from 0), slot, release, deadline, position.
 
     Reading by position gives the mixture. weights: by source; sources that it lacks get none and are refused. Without
-    it they are the numbers of documents to the power TEMPERATURE. With more sources than `period` the period is as long
-    as there are sources. Null and empty sources are one. A null doc_id is
+    it they are the numbers of documents to the power TEMPERATURE. A `period` that is too short for the weights and the
+    number of blocks is doubled until it fits. Null and empty sources are one. A null doc_id is
     ordered as an empty one; repeated rows follow each other. An empty table gives no rows.
 
     Only one row per source comes to the driver. Ranks are counted within parts of a source, so a hot one is dealt out."""
@@ -87,9 +109,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     elif missing := counts.keys() - weights.keys():
         raise ValueError(f"no weights for {sorted(missing)[:5]}")
     weights = {s: w for s, w in weights.items() if s in counts}
-    period = max(period, len(weights))
-    plan = [{"source": s, "slots": x} for s, x in schedule(slots_of(weights, period)).items()] if weights else []
+    slots = fitting_slots(weights, sum(-(-n // block_docs) for n in counts.values()), period) if weights else {}
+    period = sum(slots.values())
+    plan = [{"source": s, "slots": x} for s, x in schedule(slots).items()]
     plan_rows = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<source:string,slots:array<long>>>")))
+    plan_rows = plan_rows.select("source", F.posexplode("slots").alias("k", "at")).withColumn("k", F.col("k").cast("long"))
+    owns = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(slots)), "map<string,long>")).alias("source", "own"))
     parts = 1 << max(0, math.ceil(math.log2(max(1, sum(counts.values()) / PART_ROWS))))
     part = F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)
     rows = rows.withColumn("part", F.floor(part).cast("long"))
@@ -97,18 +122,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     before = sizes.select("source", "part", (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
     in_part = F.row_number().over(Window.partitionBy("source", "part").orderBy("order", "doc_id"))
     ranked = rows.withColumn("in_part", in_part).join(before, ["source", "part"]).withColumn("rank", F.col("before") + F.col("in_part") - 1)
-    planned = ranked.join(F.broadcast(plan_rows) if len(plan) <= SENT_SOURCES else plan_rows, "source")  # `period` slots in all
-    block = F.floor(F.col("rank") / block_docs).cast("long")
-    k, own = F.pmod(F.col("block"), F.size("slots").cast("long")), F.size("slots").cast("long")
-    turn = F.expr(f"(block DIV size(slots)) * {period}L")
-    return planned.withColumn("block", block).select(
+    ranked = ranked.join(F.broadcast(owns) if len(slots) <= SENT_SLOTS else owns, "source")
+    block, own = F.floor(F.col("rank") / block_docs).cast("long"), F.col("own")
+    ranked = ranked.withColumn("block", block).withColumn("k", F.pmod(block, own))
+    planned = ranked.join(F.broadcast(plan_rows) if period <= SENT_SLOTS else plan_rows, ["source", "k"])  # `period` slots in all
+    turn = F.expr(f"(block DIV own) * {period}L")
+    return planned.select(
         "doc_id",
         "source",
         "block",
-        (turn + F.get("slots", k.cast("int"))).alias("slot"),
-        (turn + F.floor(k * period / own)).cast("long").alias("release"),
-        (turn + F.ceil((k + 1) * period / own)).cast("long").alias("deadline"),
-        ((turn + F.get("slots", k.cast("int"))) * block_docs + F.pmod(F.col("rank"), F.lit(block_docs))).cast("long").alias("position"),
+        (turn + F.col("at")).alias("slot"),
+        (turn + F.expr(f"(k * {period}L) DIV own")).alias("release"),
+        (turn + F.expr(f"((k + 1) * {period}L + own - 1) DIV own")).alias("deadline"),
+        ((turn + F.col("at")) * block_docs + F.pmod(F.col("rank"), F.lit(block_docs))).cast("long").alias("position"),
     )
 
 

@@ -49,6 +49,25 @@ def test_more_sources_than_slots(spark):
     assert found["slot"].nunique() == found.groupby("source")["block"].nunique().sum() == 25
 
 
+@pytest.mark.parametrize("weights", [{"hot": 1200.0} | {f"s{k}": 1.0 for k in range(1200)}, {"hot": 900.0} | {f"s{k}": 1.0 for k in range(900)}, {"a": 0.9999, "b": 0.0001}, {chr(97 + k): 1 + k**0.5 for k in range(20)}])
+@pytest.mark.parametrize("blocks", [1000, 50_000])
+def test_weights_hold(weights, blocks):
+    """Over all slots that there are blocks for, whole slots are within one block of the real weights."""
+    slots = mixing.fitting_slots(weights, blocks)
+    total = sum(weights.values())
+    assert slots.keys() == weights.keys() and all(abs(slots[s] / sum(slots.values()) - w / total) * blocks <= 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_hot_among_many_sources(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT_SLOTS", sent)  # the plan joined by shuffling, and sent
+    rows = spark.range(3600).selectExpr("id AS doc_id", "CASE WHEN id < 2400 THEN 'hot' ELSE concat('s', id) END AS source")
+    found = mixing.mix(rows, {"hot": 1200.0} | {f"s{k}": 1.0 for k in range(2400, 3600)}, block_docs=1).toPandas()
+    first = found[found["slot"] < 2400]
+    assert abs((first["source"] == "hot").sum() - 1200) <= 2
+    assert found["position"].is_unique and (found["release"] <= found["slot"]).all() and (found["slot"] < found["deadline"]).all()
+
+
 def test_odd_rows3(odd, empty):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count() and {r["source"] for r in found} == {"", "a", "b"}
