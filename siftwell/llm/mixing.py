@@ -93,8 +93,8 @@ def source_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit(""))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Per row of docs: doc_id, source, block (of its source, from 0), slot, release, deadline, position.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, with_row: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, block (of its source, from 0), slot, release, deadline, position (and row, all its columns).
 
     Reading by position gives the mixture. weights: by source; sources that it lacks get none and are refused. Without
     it they are the numbers of documents to the power TEMPERATURE. A `period` that is too short for the weights and the
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     ordered as an empty one; repeated rows follow each other. An empty table gives no rows.
 
     Only one row per source comes to the driver. Ranks are counted within parts of a source, so a hot one is dealt out."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_of(docs).alias("source")).withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    whole = [F.struct("*").alias("row")] if with_row else []
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), source_of(docs).alias("source"), *whole).withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         weights = {s: n**TEMPERATURE for s, n in counts.items()}
@@ -135,11 +136,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
         (turn + F.expr(f"(k * {period}L) DIV own")).alias("release"),
         (turn + F.expr(f"((k + 1) * {period}L + own - 1) DIV own")).alias("deadline"),
         ((turn + F.col("at")) * block_docs + F.pmod(F.col("rank"), F.lit(block_docs))).cast("long").alias("position"),
+        *(["row"] if with_row else []),
     )
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, with all columns, in the order of the mixture. doc_id must tell rows apart."""
-    places = mix(docs, weights).select(F.col("doc_id").alias("_mixed_id"), F.col("position").alias("_position"))
-    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["_mixed_id"]))
-    return placed.orderBy("_position").drop("_mixed_id", "_position")
+    """The rows of docs, with all columns, in the order of the mixture."""
+    return mix(docs, weights, with_row=True).orderBy("position").select("row.*")

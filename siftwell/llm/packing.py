@@ -3,7 +3,9 @@
 Pieces are dealt to nodes of bounded size and packed best-fit there, longest first. Bins that are nearly full are
 emitted; the others become items of the next level, where a few nodes' bins meet in one and are packed again, up to a
 single node. A level gets as many nodes as keep each within its bound, and the tree ends early when a level could
-not shrink what is left, so no task's share grows with the input."""
+not shrink what is left, so no task's share grows with the input.
+
+Where documents have an order, a node gets a stretch of it, and sequences are numbered by their first piece there."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import cut, ids_and_texts, small_batches
+from siftwell.llm.common import cut, ids_and_texts, small_batches, text_of
 from siftwell.llm.token_counts import byte_alphabet
 
 CAPACITY = 1024
@@ -30,6 +32,8 @@ END_ID = 2
 NODE_ITEMS = 60_000
 #: Bins that lack so few tokens are emitted.
 SLACK = 4
+#: A text has fewer pieces than this power of two.
+PIECE_BITS = 21
 #: Fixed value: the split pattern of this vocabulary's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,29 +59,33 @@ def token_ids(encoding: tiktoken.Encoding, text: str) -> list[int]:
     return encoding.encode_ordinary(text)
 
 
-def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of every row: its tokens and the end id, cut,
+def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (, ids) (, position, from the column of that name) of the pieces of every row: its tokens and the end id, cut,
     if they are more than the capacity, into pieces of the capacity; the first takes what is over.
 
     Null and empty texts have one piece, of the end id. Repeated rows and null ids each give their pieces."""
     small_batches(docs.sparkSession)
+    texts = ids_and_texts(docs)
+    if position:
+        texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), docs[position].alias("position"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(file)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, *at in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.array([*token_ids(encoding, text), end_id], "<u4")
                 first = len(ids) % capacity or capacity
                 stops = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(stops, stops[1:])):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b]] if with_ids else [])))
-            columns = list(zip(*rows)) or [()] * (5 + with_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int64())] if with_ids else [])]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), *([ids[a:b]] if with_ids else []), *at))
+            columns = list(zip(*rows)) or [()] * (5 + with_ids + bool(position))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int64())] if with_ids else []), *([pa.int64()] if position else [])]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), *(["position"] if position else [])]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", position long" * bool(position)
+    return texts.mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,12 +130,18 @@ def pack_node(level: int, capacity: int):
 
 
 def place(items: DataFrame, capacity: int = CAPACITY, node_items: int = NODE_ITEMS, slack: int = SLACK) -> DataFrame:
-    """items: row (distinct longs from 0), length (1 to capacity). Adds sequence_id and offset to row."""
+    """items: row (distinct longs from 0), length (1 to capacity), and maybe order (distinct longs). Adds sequence_id and
+    offset to row. With an order, nodes pack stretches of it, neighbours meet, and a sequence's id is the least order in it."""
+    ordered = "order" in items.columns
     full = items.where(F.col("length") == capacity).select("row", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity)
     count, done = rest.count(), [full]
     nodes = math.ceil(count / node_items)
-    state = rest.select("row", "length", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), F.pmod(F.xxhash64("row"), F.lit(max(1, nodes))).alias("node"))
+    node = F.pmod(F.xxhash64("row"), F.lit(max(1, nodes)))
+    if ordered:
+        ends = rest.select(F.percentile_approx("order", [k / nodes for k in range(1, nodes)], 100 * nodes)).first()[0] if nodes > 1 else []
+        node = F.size(F.filter(F.lit(ends).cast("array<long>"), lambda x: x < F.col("order"))).cast("long") if ends else F.lit(0).cast("long")
+    state = rest.select("row", "length", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), node.alias("node"))
     level = 1
     while count:
         packed = cut(state.groupBy("node").applyInPandas(pack_node(level, capacity), STATE))
@@ -138,19 +152,29 @@ def place(items: DataFrame, capacity: int = CAPACITY, node_items: int = NODE_ITE
             done.append(packed.select("row", F.col("bin").alias("sequence_id"), "offset"))
             break
         done.append(packed.where(F.col("fill") >= capacity - slack).select("row", F.col("bin").alias("sequence_id"), "offset"))
-        state, nodes, level = left.withColumn("node", F.pmod(F.col("node"), F.lit(fewer))), fewer, level + 1
+        meets = F.expr(f"(node * {fewer}L) DIV {nodes}L") if ordered else F.pmod(F.col("node"), F.lit(fewer))
+        state, nodes, level = left.withColumn("node", meets), fewer, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
-    return out
+    if not ordered:
+        return out
+    out = out.join(items.select("row", "order"), "row")
+    first = out.groupBy("sequence_id").agg(F.min("order").alias("first"))
+    return out.join(first, "sequence_id").select("row", F.col("first").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, position: str | None = None, node_items: int = NODE_ITEMS) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
-    Offsets in a sequence are gapless from 0. An empty table gives no rows; see pieces() for nulls and repeats."""
-    found = cut(pieces(docs, file, capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()))
-    placed = place(found.select("row", "length"), capacity)
-    return found.join(placed, "row").drop("row")
+    Offsets in a sequence are gapless from 0. An empty table gives no rows; see pieces() for nulls and repeats.
+
+    position: a column of docs, distinct longs from 0 to 2^42. Documents near each other there are packed together, and
+    sequences read by their id follow the first positions in them."""
+    found = pieces(docs, file, capacity, end_id, with_ids, position).withColumn("row", F.monotonically_increasing_id())
+    order = [F.expr(f"position * {1 << PIECE_BITS}L + piece").alias("order")] if position else []
+    found = cut(found.select("*", *order).drop("position"))
+    placed = place(found.select("row", "length", *(["order"] if position else [])), capacity, node_items)
+    return found.join(placed, "row").drop("row", "order")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftwell.llm import exact_dedup, mixing, queries, quality_knn, simhash
+from siftwell.llm import exact_dedup, mixing, packing, queries, quality_knn, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,31 @@ def test_mixture_takes_effect(spark, documents):
     assert order == sorted(places, key=places.get)
 
 
+def test_mixture_reaches_the_rows(spark, documents):
+    """Sequences of run()'s rows are numbered in the order of their first document in the mixture."""
+    rows = corpus_pipeline.run(spark, SF).toPandas()
+    left = documents.where(documents["doc_id"].isin(rows["doc_id"].unique().tolist()))
+    places = {r["doc_id"]: r["position"] for r in mixing.mix(left).collect()}
+    first = rows.assign(place=rows["doc_id"].map(places)).sort_values("place").groupby("sequence_id")["place"].min()
+    assert first.is_monotonic_increasing and first.iloc[0] == min(places.values()) and len(first) > 5
+
+
+def test_stretches(spark, documents):
+    """A node packs a stretch of the order; gapless, nothing lost."""
+    docs = mixing.mix(documents, with_row=True).select("position", "row.doc_id", "row.text")
+    rows = packing.pack_documents(docs, queries.VOCABULARY, position="position", node_items=40).toPandas()
+    plain = packing.pack_documents(docs, queries.VOCABULARY).toPandas()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, rows[key].values)) == sorted(map(tuple, plain[key].values))
+    for _, s in rows.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= packing.CAPACITY
+
+
+def test_mixture_of_odd_ids(spark):
+    docs = spark.createDataFrame([(None, "a", f"t{k}") for k in range(5)] + [(7, "b", "u")] * 4, "doc_id long, source string, text string")
+    assert mixing.mixed(docs).count() == 9
+
+
 def test_empty(spark, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
