@@ -1,7 +1,7 @@
 """Quality rules: counts with fixed limits, and a log-likelihood ratio of hashed n-grams. DataFrame functions only.
 
 Single words and pairs of adjacent words fall into buckets by hash. Their multinomials are counted over all documents
-(the raw corpus) and over a bounded sample of the documents that a label calls good (the trusted target). A text's score
+(the raw corpus) and over all documents that a label calls good (the trusted target). A text's score
 is the mean log ratio of its n-grams, target against raw; a fixed threshold decides."""
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 8192
 #: Documents whose n-grams are on average this much likelier raw than trusted are dropped.
 THRESHOLD = -0.5
-#: Trusted documents at most, by the order of a hash of their ids.
-TRUSTED = 20_000
 MIN_WORDS = 50
 WINDOW = 3
 #: Up to so many distinct repeated windows are looked up one by one; more are found by sorting. The result is the same.
@@ -54,15 +52,19 @@ def bucket(x: Column, buckets: int) -> Column:
     return F.pmod(x, F.lit(buckets).cast("long")).cast("int")
 
 
+def counts_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
+    grams = word_hashes(docs).select(F.explode(bucket_counts(F.col("h"))).alias("x"))
+    return grams.groupBy(bucket(F.col("x"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio of each bucket's smoothed share among trusted to that among all documents; one
-    number per bucket."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(labels["doc_id"].cast("long").alias("good_id")).distinct()
-    good = F.broadcast(good.orderBy(F.xxhash64("good_id"), "good_id").limit(TRUSTED))  # bounded, so that no text is shuffled
-    rows = word_hashes(docs)
-    rows = rows.join(good, rows["doc_id"] == good["good_id"], "left")
-    grams = rows.select(F.col("good_id").isNotNull().alias("trusted"), F.explode(bucket_counts(F.col("h"))).alias("x"))
-    counts = grams.groupBy(bucket(F.col("x"), buckets).alias("bucket")).agg(F.count("*").alias("raw"), F.count_if("trusted").alias("trusted")).collect()
+    number per bucket. Labels are joined to the plain texts, which are shuffled once at most, and not their words."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
+    texts = ids_and_texts(docs)
+    of_good = texts.where("doc_id IS NOT NULL").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
+    sides = counts_by_bucket(texts, buckets).withColumn("side", F.lit("raw")).union(counts_by_bucket(of_good, buckets).withColumn("side", F.lit("trusted")))
+    counts = sides.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("side") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("raw", "trusted"))).collect()
     raw, trusted = [1.0] * buckets, [1.0] * buckets
     for r in counts:
         raw[r["bucket"]] += r["raw"]

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -199,6 +200,17 @@ def test_likelihood_ratio(spark):
     assert min(found[k] for k in range(20)) > 0 > quality_rules.THRESHOLD > max(found[k] for k in range(100, 120))
 
 
+def test_all_trusted_documents_count(spark):
+    """Also beyond 20,000, which was a limit."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "'same' AS text").union(spark.createDataFrame([(None, "same")], "doc_id long, text string"))
+    found = quality_rules.log_ratios(docs, spark.range(n).selectExpr("id AS doc_id", "1 AS quality"), 1)
+    assert found == [0.0]
+    two = quality_rules.log_ratios(docs, spark.range(n).selectExpr("id AS doc_id", "1 AS quality"), 2)
+    raw, trusted = (n + 2) / (n + 3), (n + 1) / (n + 2)
+    assert min(abs(x - math.log(trusted / raw)) for x in two) < 1e-12
+
+
 def test_odd_rows9(odd, empty, no_labels, spark):
     long_repeats = spark.createDataFrame([(50, " ".join(f"w{k}" for k in range(3000)) * 2, "s", "x", 0, "h", 1.5)], odd.schema)
     every = odd.unionByName(long_repeats)
