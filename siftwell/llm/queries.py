@@ -65,30 +65,27 @@ FROM hashed h JOIN grouped g ON h.text_sha256 = g.text_sha256
 """
 
 
-#: Shares of 1000 slots by the square root of a source's documents; one period by earliest deadline first; then arithmetic.
+#: Weights by the square root of a source's documents, in units of 2^-28; earliest deadline first, slot by slot.
 OP3_SQL = """
 WITH RECURSIVE numbered AS (
   SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
-), counts AS (SELECT source, sqrt(count(*)) AS weight FROM numbered GROUP BY source),
-shares AS (SELECT source, round(1000 * weight / (SELECT sum(weight) FROM counts), 6) AS share FROM counts),
-whole AS (
-  SELECT source, greatest(1, CAST(floor(share) AS BIGINT)) AS least_slots, row_number() OVER (ORDER BY floor(share) - share, source) AS turn FROM shares
-), slots AS (
-  SELECT source, least_slots + CASE WHEN turn <= 1000 - (SELECT sum(least_slots) FROM whole) THEN 1 ELSE 0 END AS slots, row_number() OVER (ORDER BY source) AS idx FROM whole
-), lists AS (SELECT list(slots ORDER BY source) AS a FROM slots),
+), counts AS (SELECT source, count(*) AS n, CAST(round(sqrt(count(*)) * 1000000) AS HUGEINT) AS raw FROM numbered GROUP BY source),
+units AS (
+  SELECT source, greatest(1, CAST((raw * 268435456) // (SELECT sum(raw) FROM counts) AS BIGINT)) AS w, (n + 7) // 8 AS blocks, row_number() OVER (ORDER BY source) AS idx FROM counts
+), lists AS (
+  SELECT list(w ORDER BY idx) AS a, CAST(sum(w) AS BIGINT) AS total FROM units
+), last AS (SELECT max((blocks * total + w - 1) // w) AS slots FROM units, lists),
 edf AS (
-  SELECT -1 AS t, CAST(0 AS BIGINT) AS pick, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done FROM lists
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done FROM lists
   UNION ALL
   SELECT t + 1, next, list_transform(done, lambda x, i: CASE WHEN i = next THEN x + 1 ELSE x END)
   FROM (SELECT t, done, CAST(list_position(due, list_min(due)) AS BIGINT) AS next FROM (
-    SELECT t, done, list_transform(done, lambda x, i: CASE WHEN x < a[i] AND (x * 1000) // a[i] <= t + 1 THEN ((x + 1) * 1000 + a[i] - 1) // a[i] ELSE 1000000 END) AS due
-    FROM edf, lists WHERE t < 999))
-), planned AS (SELECT pick AS idx, CAST(t AS BIGINT) AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf WHERE t >= 0),
-ranked AS (SELECT n.doc_id, n.source, s.slots, s.idx, row_number() OVER (PARTITION BY n.source ORDER BY place, doc_id) - 1 AS rank FROM numbered n JOIN slots s ON s.source = n.source),
-blocks AS (SELECT *, rank // 8 AS block, (rank // 8) // slots AS turn, (rank // 8) % slots AS k FROM ranked)
-SELECT b.doc_id, b.source, b.block, b.turn * 1000 + p.slot AS slot, b.turn * 1000 + (b.k * 1000) // b.slots AS release,
-  b.turn * 1000 + ((b.k + 1) * 1000 + b.slots - 1) // b.slots AS deadline, (b.turn * 1000 + p.slot) * 8 + b.rank % 8 AS position
-FROM blocks b JOIN planned p ON p.idx = b.idx AND p.k = b.k
+    SELECT t, done, list_transform(done, lambda x, i: CASE WHEN (x * total) // a[i] <= t + 1 THEN ((x + 1) * total + a[i] - 1) // a[i] ELSE 9000000000000000000 END) AS due
+    FROM edf, lists, last WHERE t < slots))
+), planned AS (SELECT pick AS idx, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM edf WHERE t >= 0),
+ranked AS (SELECT n.doc_id, n.source, u.w, u.idx, row_number() OVER (PARTITION BY n.source ORDER BY place, doc_id) - 1 AS rank FROM numbered n JOIN units u ON u.source = n.source)
+SELECT b.doc_id, b.source, b.rank // 8 AS block, p.slot, (p.k * total) // b.w AS release, ((p.k + 1) * total + b.w - 1) // b.w AS deadline, p.slot * 8 + b.rank % 8 AS position
+FROM ranked b JOIN planned p ON p.idx = b.idx AND p.k = b.rank // 8 CROSS JOIN lists
 """
 
 

@@ -1,24 +1,54 @@
+import heapq
 import math
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import licenses, mixing, quality_rules, queries, url_rules
 
 # --- mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 97, "b": 2, "c": 1}, {chr(97 + k): k + 1 for k in range(20)}, {"a": 1}])
-def test_schedule(weights):
-    slots = mixing.slots_of(weights)
-    assert sum(slots.values()) == 1000
-    plan = mixing.schedule(slots)
-    order = {t: s for s, ts in plan.items() for t in ts}
-    done = Counter()
-    for t in range(1000):
-        done[order[t]] += 1
-        assert all(abs(done[s] - (t + 1) * slots[s] / 1000) < 1 for s in slots)
+def plain_schedule(weights, slots):
+    """Source index and block: its slot, slot by slot with earliest deadline first."""
+    total, out = sum(weights), {}
+    ready, waiting = [], [(0, i, 0) for i in range(len(weights))]
+    for t in range(slots):
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
+        due, i, k = heapq.heappop(ready)
+        assert due > t
+        out[f"s{i:04d}", k] = t
+        heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
+    return out
+
+
+def planned(spark, weights, slots, segment):
+    total = sum(weights)
+    plan = spark.createDataFrame([([(f"s{i:04d}", w, 1 << 40) for i, w in enumerate(weights)], total)], "sources array<struct<source:string,w:long,blocks:long>>, total long")
+    longest = max(-(-total // w) for w in weights) + 1
+    return mixing.schedule(plan, slots, longest, segment, 4).collect()
+
+
+@pytest.mark.parametrize("weights, segment", [([1], 1), ([1, 1], 5), ([97, 2, 1], 7), ([*range(1, 21)], 250), ([10**6, 1414214, 1732051], 64), ([900] + [1] * 60, 1)])
+def test_segments_make_the_whole_schedule(spark, weights, segment):
+    """Worked out segment by segment, the schedule is that of one run over all slots."""
+    found = {(r["source"], r["k"]): r["slot"] for r in planned(spark, weights, 1500, segment)}
+    assert found == plain_schedule(weights, len(found)) and len(found) >= 1500
+
+
+@pytest.mark.parametrize("weights, slots", [([10**6, 1414214, 1732051], 100_000), ([1200] + [1] * 1200, 6000)])
+def test_deviation_from_the_target(spark, weights, slots):
+    """Less than one block from the weights' shares at every slot, whatever the weights and the number of sources."""
+    rows = sorted((r["slot"], int(r["source"][1:])) for r in planned(spark, weights, slots, mixing.SEGMENT))
+    done, total = Counter(), sum(weights)
+    for t, (slot, i) in enumerate(rows):
+        assert slot == t and abs(done[i] * total - t * weights[i]) < total
+        done[i] += 1
+        assert abs(done[i] * total - (t + 1) * weights[i]) < total
 
 
 def test_query3(spark, sf_dir, duck, compare):
@@ -31,49 +61,39 @@ def test_query3(spark, sf_dir, duck, compare):
 
 def test_deviation_while_all_last(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source", "'t' AS text")
-    weights = {"hot": 5.0, **{f"s{k}": 1.0 for k in range(7)}}
-    found = mixing.mix(rows, weights).toPandas()
-    slots = mixing.slots_of(weights)
-    ends = min(found[found["source"] == s]["slot"].max() for s in slots)
+    weights = {"hot": 5 * 2**0.5, **{f"s{k}": 3**0.5 for k in range(7)}}
+    found = mixing.mix(rows, weights, segment=16).toPandas()
+    total = sum(weights.values())
+    ends = min(found[found["source"] == s]["slot"].max() for s in weights)
     for t in range(0, int(ends), 7):
         seen = found[found["slot"] <= t].groupby("source")["block"].nunique()
-        assert all(abs(seen.get(s, 0) - (t + 1) * slots[s] / 1000) < 1 for s in slots)
+        assert all(abs(seen.get(s, 0) - (t + 1) * w / total) < 1.0001 for s, w in weights.items())
     with pytest.raises(ValueError):
         mixing.mix(rows, {"hot": 1.0})
 
 
-def test_more_sources_than_slots(spark):
-    rows = spark.range(60).selectExpr("id AS doc_id", "concat('s', id % 25) AS source")
-    found = mixing.mix(rows, period=10).toPandas()
-    assert len(found) == 60 and found["position"].is_unique
-    assert (found["release"] <= found["slot"]).all() and (found["slot"] < found["deadline"]).all()
-    assert found["slot"].nunique() == found.groupby("source")["block"].nunique().sum() == 25
-
-
-@pytest.mark.parametrize("weights", [{"hot": 1200.0} | {f"s{k}": 1.0 for k in range(1200)}, {"hot": 900.0} | {f"s{k}": 1.0 for k in range(900)}, {"a": 0.9999, "b": 0.0001}, {chr(97 + k): 1 + k**0.5 for k in range(20)}])
-@pytest.mark.parametrize("blocks", [1000, 50_000])
-def test_weights_hold(weights, blocks):
-    """Over all slots that there are blocks for, whole slots are within one block of the real weights."""
-    slots = mixing.fitting_slots(weights, blocks)
-    total = sum(weights.values())
-    assert slots.keys() == weights.keys() and all(abs(slots[s] / sum(slots.values()) - w / total) * blocks <= 1 for s, w in weights.items())
-
-
-@pytest.mark.parametrize("sent", [0, 100_000])
-def test_hot_among_many_sources(spark, monkeypatch, sent):
-    monkeypatch.setattr(mixing, "SENT_SLOTS", sent)  # the plan joined by shuffling, and sent
+def test_hot_among_many_sources(spark):
     rows = spark.range(3600).selectExpr("id AS doc_id", "CASE WHEN id < 2400 THEN 'hot' ELSE concat('s', id) END AS source")
     found = mixing.mix(rows, {"hot": 1200.0} | {f"s{k}": 1.0 for k in range(2400, 3600)}, block_docs=1).toPandas()
     first = found[found["slot"] < 2400]
-    assert abs((first["source"] == "hot").sum() - 1200) <= 2
+    assert abs((first["source"] == "hot").sum() - 1200) <= 1 and len(found) == 3600
     assert found["position"].is_unique and (found["release"] <= found["slot"]).all() and (found["slot"] < found["deadline"]).all()
 
 
+def test_parts_of_a_source(spark, monkeypatch):
+    whole = mixing.mix(spark.range(900).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")).toPandas()
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    parts = mixing.mix(spark.range(900).selectExpr("id AS doc_id", "concat('s', id % 3) AS source")).toPandas()
+    assert whole.sort_values("doc_id").reset_index(drop=True).equals(parts.sort_values("doc_id").reset_index(drop=True))
+
+
 def test_odd_rows3(odd, empty):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count() and {r["source"] for r in found} == {"", "a", "b"}
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
-    assert mixing.mixed(odd.dropDuplicates(["doc_id"])).columns == odd.columns
+    named = odd.withColumnsRenamed({"n": "position", "score": "order", "key": "row", "_n": "_position"}).withColumn("at", F.lit(1))
+    mixture = mixing.mixed(named)
+    assert mixture.columns == named.columns and sorted(map(str, mixture.collect())) == sorted(map(str, named.collect()))
 
 
 # --- URLs
