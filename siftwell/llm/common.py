@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of one Arrow batch, so that a Python worker holds a few MB of text whatever the rows are like.
+#: Bounds of what a Python worker treats at once, so that it holds a few MB of text whatever the rows are like.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
+#: A key is hot if it has more than this share's inverse of all rows: there are so many hot keys at most.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def sliced(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, by the bounds above; text: the number of the text column. The session's own
+    settings bound what Spark sends at once."""
+    for batch in batches:
+        ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right"))
+            stop = min(max(most, at + 1), at + BATCH_ROWS, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def text_of(docs: DataFrame) -> Column:
@@ -62,6 +74,46 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """file and at, which are different for every row and the same whenever the result is read, and row, a struct of all columns.
+
+    They come from where a row stands in its Parquet file. What isn't read from such files is written first."""
+    for rows in (docs, None):
+        if rows is None:
+            rows = stored(docs)
+        elif rows._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":  # may repeat or mix rows
+            continue
+        try:
+            place = rows.metadataColumn("_metadata")
+            return rows.select(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"), F.struct("*").alias("row"))
+        except AnalysisException:  # files of another format
+            if rows is not docs:
+                raise
+    raise AssertionError
+
+
+def in_row(name: str) -> Column:
+    """doc_id or text of the struct that keyed() makes; null text as empty."""
+    column = F.col("row")[name]
+    return F.coalesce(column.cast("string"), F.lit("")) if name == "text" else column.cast("long")
+
+
+def join_sized(rows: DataFrame, table: DataFrame, on: list[str], how: str, size: str, total: int) -> DataFrame:
+    """rows joined (inner, left or left_semi) with a table that has one row per key and, in the column `size`, how many
+    of the `total` rows have the key. Hot keys, HOT_KEYS at most, are sent to all executors, and their rows stay where
+    they are; only keys of few rows are shuffled together."""
+    is_hot = F.col(size) > total / HOT_KEYS
+    hot = F.broadcast(table.where(is_hot))  # HOT_KEYS rows at most
+    cold = rows.join(F.broadcast(table.where(is_hot).select(*on)), on, "left_anti").join(table.where(~is_hot), on, how)
+    return rows.join(hot, on, "left_semi" if how == "left_semi" else "inner").unionByName(cold)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a string column in a row, and where each begins (one more entry for the end)."""
     column = column.cast(pa.large_string())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import ids_and_texts, small_batches, texts
+from siftwell.llm.common import ids_and_texts, sliced, texts
 
 #: Of lower-cased bytes: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ keeps digits, a-z and all that isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -103,11 +103,10 @@ def document_counts(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     """In how many of all documents each licence word occurs, and the number of documents. The words are those of the
     templates, so what comes to the driver has a fixed bound."""
     wanted = vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for text in texts(batch.column(1)):
                 counts[b""] += 1
                 counts.update(wanted.intersection(words_of(text)))
@@ -137,7 +136,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     index = Index(counts, documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             columns = list(zip(*map(index.scan, texts(batch.column(1))))) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], SCHEMA.names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import cut, ids_and_texts, small_batches, text_of
+from siftwell.llm.common import cut, ids_and_texts, sliced, text_of
 from siftwell.llm.token_counts import byte_alphabet
 
 CAPACITY = 1024
@@ -64,14 +64,13 @@ def pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, end_id: int = E
     if they are more than the capacity, into pieces of the capacity; the first takes what is over.
 
     Null and empty texts have one piece, of the end id. Repeated rows and null ids each give their pieces."""
-    small_batches(docs.sparkSession)
     texts = ids_and_texts(docs)
     if position:
         texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), docs[position].alias("position"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(file)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = []
             for doc_id, text, *at in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.array([*token_ids(encoding, text), end_id], "<u4")

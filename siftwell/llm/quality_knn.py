@@ -1,12 +1,14 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is described by hashed terms: trigrams of its character shapes (which letters are upper case, which signs
-stand where), and graded measures of how much it repeats itself. Term weights and the latent space come from a
-bounded sample of labelled texts, whose vectors are sent to all executors. Every text's cosine with each of them is
-computed exactly, in blocks, and the nearest vote with their labels, weighted by similarity."""
+A text is described by hashed terms: its words, the trigrams of its bytes, and two terms for repeats (a word that
+follows itself, a line that was there before), all counted, damped by a logarithm and weighted by their rarity. A
+truncated singular value decomposition of a bounded sample of labelled texts gives the latent space; the sample's
+vectors there are sent to all executors. Every text's cosine with each of them is computed exactly, in blocks, and the
+nearest vote with their labels, weighted by similarity."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,70 +18,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import crc_fold, ids_and_texts, small_batches, text_of, texts
+from siftwell.llm.common import crc_fold, ids_and_texts, sliced, text_of, texts
 from siftwell.llm.toxicity import training_sample
 
-SHAPE_TERMS = 1024
-GRADES = 12
-MEASURES = 9
-#: How much the graded measures weigh against the trigrams.
-MEASURE_WEIGHT = 3.0
-LATENT = 48
+WORD_TERMS, GRAM_TERMS, REPEAT_TERMS = 4096, 4096, 2
+TERMS = WORD_TERMS + REPEAT_TERMS + GRAM_TERMS
+#: How much a repeat weighs against a word of the same rarity.
+REPEAT_WEIGHT = 6.0
+LATENT = 64
+#: Passes of the randomised decomposition, and vectors that it carries besides those that are kept.
+PASSES, SPARE = 4, 16
 NEIGHBOURS = 15
 SHARPNESS = 8
-#: At most so many labelled vectors of each label, by the order of a hash of their ids: 1.0 MB with 48 components.
+#: At most so many labelled texts of each label, by the order of a hash of their ids: vectors of 1.3 MB.
 SAMPLE = {1: 3500, 0: 1500}
 FOLDS, HELD_OUT = 4, 2
-BLOCK = 512
-SCORE = "_quality_score"
-
-SHAPES = np.zeros(256, np.uint8)
-SHAPES[:] = np.arange(256)
-SHAPES[ord("a") : ord("z") + 1] = ord("a")
-SHAPES[ord("A") : ord("Z") + 1] = ord("A")
-SHAPES[ord("0") : ord("9") + 1] = ord("0")
-SHAPES[128:] = ord("a")
-
-
-def grade(share: float) -> int:
-    return min(GRADES - 1, int(share * GRADES))
-
-
-def measures(text: bytes) -> list[int]:
-    """Grades: distinct words, words like the one before, words in repeated pairs, repeated lines, lines, word length, signs, words with signs, capitals."""
-    words = text.split()
-    if not words:
-        return [GRADES - 1] * MEASURES
-    n = len(words)
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    pairs = {*zip(words, words[1:])}
-    letters = len(text) - text.count(b" ") or 1
-    plain = text.translate(None, b" \n.,;:-'\"()")
-    signs = sum(plain.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">", b"!", b"{", b"}", b"=", b"/", b"_"))
-    capitals = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    return [
-        grade(len({*words}) / n),
-        grade(sum(a == b for a, b in zip(words, words[1:])) / n),
-        grade(1 - len(pairs) / max(1, n - 1)),
-        grade(1 - len({*lines}) / len(lines)),
-        grade(min(1, len(lines) / n * 4)),
-        grade(min(1, letters / n / 16)),
-        grade(min(1, 3 * signs / letters)),
-        grade(sum(not w[-1:].isalnum() and w[-1] < 128 for w in words) / n),
-        grade(capitals / letters),
-    ]
+BLOCK = 256
+#: Cosines count with so many decimals, so that what is equal stays equal in every block.
+DECIMALS = 5
 
 
 def term_counts(batch_texts: list[bytes]) -> np.ndarray:
-    """Counts of hashed terms, a row for each text."""
-    out = np.zeros((len(batch_texts), SHAPE_TERMS + MEASURES * GRADES), np.float32)
+    """Counts of hashed terms, a row for each text: words, repeats, trigrams."""
+    out = np.zeros((len(batch_texts), TERMS), np.float32)
     for k, text in enumerate(batch_texts):
-        shape = SHAPES[np.frombuffer(text, np.uint8)].astype(np.uint32)
-        if len(shape) > 2:
-            gram = (shape[:-2] * np.uint32(65599) + shape[1:-1]) * np.uint32(65599) + shape[2:]
-            gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(22)
-            out[k, :SHAPE_TERMS] = np.bincount(gram, minlength=SHAPE_TERMS)
-        out[k, SHAPE_TERMS + np.arange(MEASURES) * GRADES + measures(text)] = 1
+        words = text.split()
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        out[k, :WORD_TERMS] = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORD_TERMS, minlength=WORD_TERMS)
+        out[k, WORD_TERMS] = sum(a == b for a, b in zip(words, words[1:]))
+        out[k, WORD_TERMS + 1] = len(lines) - len({*lines})
+        raw = np.frombuffer(text, np.uint8).astype(np.uint32)
+        if len(raw) > 2:
+            gram = (raw[:-2] * np.uint32(65599) + raw[1:-1]) * np.uint32(65599) + raw[2:]
+            out[k, WORD_TERMS + REPEAT_TERMS :] = np.bincount((gram * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=GRAM_TERMS)
     return out
 
 
@@ -95,72 +66,106 @@ class Space:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def vote(self, v: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest, weighted by a power of the cosine."""
+        """Share of label 1 among the nearest, weighted by a power of the cosine; of equal cosines the first texts."""
         near = min(NEIGHBOURS, len(self.labels))
         out = np.zeros(len(v))
         for a in range(0, len(v), BLOCK):
-            cosine = v[a : a + BLOCK] @ self.vectors.T
+            cosine = np.round(v[a : a + BLOCK] @ self.vectors.T, DECIMALS)
             at = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-            weight = np.maximum(np.take_along_axis(cosine, at, 1), 0) ** SHARPNESS + 1e-9
+            last = np.take_along_axis(cosine, at, 1).min(1)
+            for k in np.flatnonzero((cosine >= last[:, None]).sum(1) > near):  # a tie for the last place
+                at[k] = np.argsort(-cosine[k], kind="stable")[:near]
+            weight = np.maximum(np.take_along_axis(cosine, at, 1).astype(np.float64), 0) ** SHARPNESS + 1e-9
             out[a : a + BLOCK] = (weight * self.labels[at]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
 
 
 def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    v = counts.copy()
-    v[:, :SHAPE_TERMS] = np.log1p(v[:, :SHAPE_TERMS])
-    v *= weights
-    for a, b, w in ((0, SHAPE_TERMS, 1.0), (SHAPE_TERMS, v.shape[1], MEASURE_WEIGHT)):
-        part = v[:, a:b]
-        part *= w / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    v = np.log1p(counts) * weights
+    for part in (v[:, : WORD_TERMS + REPEAT_TERMS], v[:, WORD_TERMS + REPEAT_TERMS :]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
     return v
 
 
-def fit(sample_texts: list[bytes], labels: np.ndarray) -> Space:
-    counts = np.concatenate([term_counts(sample_texts[k : k + 500]) for k in range(0, len(sample_texts), 500)])
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.1
-    matrix = weighted(counts, weights)
-    values, basis = np.linalg.eigh(matrix.T @ matrix)
-    basis = np.ascontiguousarray(basis[:, np.argsort(-values)[:LATENT]]).astype(np.float32)
-    space = Space(weights, basis, np.zeros((0, basis.shape[1]), np.float32), labels.astype(np.float32))
-    space.vectors = space.project(counts)
+#: The counts of a text in the sample: which terms, and how often.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def dense(rows: list[Sparse]) -> np.ndarray:
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for k, (terms, counts) in enumerate(rows):
+        out[k, terms] = counts
+    return out
+
+
+def fit(sample: list[Sparse], labels: np.ndarray) -> Space:
+    """The sample is gone through in blocks, PASSES + 2 times; no more than a block of it is ever written out."""
+    blocks = [sample[k : k + BLOCK] for k in range(0, len(sample), BLOCK)]
+    found = sum((np.bincount(terms, minlength=TERMS) for terms, _ in sample), np.zeros(TERMS, np.int64))
+    weights = (np.log((1 + len(sample)) / (1 + found)) + 0.1).astype(np.float32)
+    weights[WORD_TERMS : WORD_TERMS + REPEAT_TERMS] *= REPEAT_WEIGHT
+    carried = np.random.default_rng(7).normal(size=(TERMS, LATENT + SPARE)).astype(np.float32)
+    for _ in range(PASSES):
+        grown = np.zeros_like(carried)
+        for rows in blocks:
+            part = weighted(dense(rows), weights)
+            grown += part.T @ (part @ carried)
+        carried = np.linalg.qr(grown)[0].astype(np.float32)
+    image = np.concatenate([weighted(dense(rows), weights) @ carried for rows in blocks])
+    basis = np.ascontiguousarray(carried @ np.linalg.svd(image, full_matrices=False)[2].T[:, :LATENT]).astype(np.float32)
+    space = Space(weights, basis, np.zeros((0, LATENT), np.float32), labels.astype(np.float32))
+    space.vectors = np.concatenate([space.project(dense(rows)) for rows in blocks])
     return space
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """The rows of docs, all columns, with the score in a last column SCORE. Nothing is shuffled."""
-    small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, "quality", folds, held_out, SAMPLE)
-    space = fit([r["text"].encode("utf-8", "replace") for r in sample], np.array([r["label"] for r in sample])) if sample else None
-    sent = docs.sparkSession.sparkContext.broadcast(space)  # bounded by the sample's parameter
-    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+def sample_counts(sample: DataFrame) -> list:
+    """Rows doc_id, label, terms, counts of the sample. Texts stay in the executors; what comes has at most TERMS numbers for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2):
+            found = texts(batch.column(2))
+            rows = [(np.flatnonzero(x), x[x > 0]) for k in range(0, len(found), BLOCK) for x in term_counts(found[k : k + BLOCK])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.float32()))], ["doc_id", "label", "terms", "counts"])
+
+    return sorted(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<float>").collect(), key=lambda r: r["doc_id"])
+
+
+def with_scores(rows: DataFrame, docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """The columns of rows with a score, a double, in the place of the last, a text. Nothing is shuffled."""
+    sample = sample_counts(training_sample(docs, labels, "quality", folds, held_out, SAMPLE))
+    space = fit([(np.array(r["terms"], np.int64), np.array(r["counts"], np.float32)) for r in sample], np.array([r["label"] for r in sample])) if sample else None
+    sent = rows.sparkSession.sparkContext.broadcast(space)  # bounded by the sample's parameter
+    last = len(rows.columns) - 1
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(rows.columns[-1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
-            found = texts(batch.column(batch.num_columns - 1))
+        for batch in sliced(batches, last):
+            found = texts(batch.column(last))
             parts = [found[k : k + BLOCK] for k in range(0, len(found), BLOCK)]
             scores = [own.vote(own.project(term_counts(p))) if own else np.ones(len(p)) for p in parts]
-            scores = pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())], schema.names)
 
-    return docs.select("*", text_of(docs).alias(SCORE)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = 0.7) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1), predicted.
 
-    Null and empty texts are scored by the measures of an empty text. A null doc_id isn't held out. Repeated rows each
-    get the score of their text. An empty table gives no rows; without labelled rows every score is 1."""
-    scored = with_scores(ids_and_texts(docs), labels, folds, held_out)
+    Null and empty texts have no terms: their cosines are 0, and they get the share of label 1 among the first of the
+    sample. A null doc_id isn't held out. Repeated rows each get the score of their text. Other columns play no part. An
+    empty table gives no rows; without labelled rows every score is 1."""
+    scored = with_scores(ids_and_texts(docs), docs, labels, folds, held_out).withColumnRenamed("text", "score")
     return scored.select(
         "doc_id",
         F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
-        F.col(SCORE).alias("score"),
-        (F.col(SCORE) >= threshold).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that aren't rejected; all columns."""
-    return with_scores(docs, labels, FOLDS, HELD_OUT).where(F.col(SCORE) >= threshold).drop(SCORE)
+    """The rows of docs that aren't rejected, with all columns, whatever their names. Nulls, empty texts, repeated rows
+    and empty tables as in score_quality()."""
+    rows = docs.select(F.struct("*").alias("row"), text_of(docs).alias("score"))
+    return with_scores(rows, docs, labels, FOLDS, HELD_OUT).where(F.col("score") >= threshold).select("row.*")

@@ -18,11 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import cut, ids_and_texts, small_batches, texts
+from siftwell.llm.common import cut, ids_and_texts, in_row, join_sized, keyed, sliced, texts
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2  # what the fuzzy keys guarantee
@@ -63,16 +63,16 @@ def fingerprint_batch(batch_texts: list[bytes], shingle_words: int) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null and empty texts have fp 0."""
-    small_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """rows: longs, and text in the last column. fp (the fingerprint as a signed long) instead of the text; empty texts have fp 0."""
+    names = [*rows.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = fingerprint_batch(texts(batch.column(1)), shingle_words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+        for batch in sliced(batches, len(names) - 1):
+            found = fingerprint_batch(texts(batch.column(len(names) - 1)), shingle_words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names)
 
-    return ids_and_texts(docs).mapInArrow(run, LONG("doc_id", "fp"))
+    return rows.mapInArrow(run, LONG(*names))
 
 
 @lru_cache(1)
@@ -148,45 +148,68 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (the smallest node it is connected with) of every node of the edges a, b.
 
     Alternating large and small stars: a round moves edges to smaller neighbours and makes no more of them. Each
-    round is cut by a checkpoint; only the number of edges and a checksum come to the driver."""
+    round is cut by a checkpoint; only the number of edges and a checksum come to the driver. A node with many
+    neighbours gets their least from partial sums, and its edges stay where they are."""
     edges = cut(edges.select("a", "b"))
-    before = None
+    total, before = edges.count(), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size"))
+        large = join_sized(both, least, ["a"], "inner", "size", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # now a > b: to the smallest of a's neighbours go a and its other smaller neighbours
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
+        large = cut(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+        moved = join_sized(large, least, ["a"], "inner", "size", total)
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        total, before = now[0], now
     else:
         raise RuntimeError("the components have not settled")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(found: DataFrame, pair_bound: int = PAIR_BOUND) -> DataFrame:
+    """found: rows with fp. fp, size (rows with it) and root (the fingerprint that names its component)."""
+    nodes = cut(found.groupBy("fp").agg(F.count("*").alias("size")))
+    of_links = components(links(nodes, pair_bound))
+    return cut(nodes.join(of_links, nodes["fp"] == of_links["node"], "left").select("fp", "size", F.coalesce("root", "fp").alias("root")))
+
+
 def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, pair_bound: int = PAIR_BOUND) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
     Documents link when their fingerprints differ in two or fewer bits; component_id is the smallest doc_id that is
     reachable over links, the document's own included. Copies share a fingerprint and take part in the search once.
     Null and empty texts, and texts of blanks only, have fingerprint zero and link like any other. Rows without an id
-    get the component's id but never give it. Repeated rows each come back. An empty table gives no rows."""
-    found = cut(fingerprints(docs, shingle_words))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    rooted = components(links(nodes, pair_bound))
-    rooted = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; all columns."""
-    gone = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    get the component's id but never give it. Repeated rows each come back. Columns other than doc_id and text play no
+    part. An empty table gives no rows."""
+    found = cut(fingerprints(ids_and_texts(docs), shingle_words))
+    named = with_least(found, F.col("doc_id"), pair_bound)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def with_least(found: DataFrame, value: Column, pair_bound: int) -> DataFrame:
+    """found with least, the smallest of the values in a row's component. Fingerprints of many rows, and components of
+    many fingerprints, are summed up where they lie."""
+    total = found.count()
+    roots = rooted(found, pair_bound)
+    of_print = found.groupBy("fp").agg(F.min(value).alias("value")).join(roots, "fp")
+    of_root = of_print.groupBy("root").agg(F.min("value").alias("least"), F.count("*").alias("prints"))
+    named = cut(join_sized(roots, of_root, ["root"], "inner", "prints", total).select("fp", "size", "least"))
+    return join_sized(found, named, ["fp"], "inner", "size", total)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, pair_bound: int = PAIR_BOUND) -> DataFrame:
+    """Of the rows of each component of linked fingerprints one, with all its columns: that with the smallest doc_id; of
+    several with this id any one.
+
+    Rows are dropped, not ids. A row without an id stays if no row of its component has one. Null texts count as empty,
+    and empty texts are one component with what links to them. Columns may have any names. An empty table gives no rows."""
+    rows = keyed(docs)
+    found = cut(fingerprints(rows.select("file", "at", in_row("doc_id").alias("doc_id"), in_row("text").alias("text")), shingle_words))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at")
+    gone = with_least(found, place, pair_bound).where("file <> least.file OR at <> least.at").select("file", "at")
+    return rows.join(gone, ["file", "at"], "left_anti").select("row.*")

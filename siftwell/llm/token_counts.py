@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siftwell.llm.common import ids_and_texts, small_batches, utf8
+from siftwell.llm.common import ids_and_texts, sliced, utf8
 
 CHUNK = 1024
 #: Beyond so many states the table is compiled anew: it bounds a worker's memory, not what is counted.
@@ -247,11 +247,9 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 512) -> DataFrame:
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and null ids each give a row. Texts are read whole,
     however long; a batch is cut into chunks wherever its texts begin. An empty table gives no rows."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(file)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             raw, at = utf8(batch.column(1))
             n = machine.counts(raw, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

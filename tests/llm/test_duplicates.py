@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siftwell.llm import exact_dedup, queries, simhash
 
@@ -52,6 +53,54 @@ def test_odd_rows5(odd, empty, digest_all):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 6, 8]
 
 
+#: Repeated and null ids: y is in four rows, x in one that shares its id with a y, and z only where there is no id.
+REPEATED = [(0, "y"), (1, "x"), (1, "y"), (None, "y"), (None, "y"), (None, "z"), (None, "z"), (7, "w"), (7, "w")]
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_duplicates, simhash.drop_near_duplicates])
+@pytest.mark.parametrize("written", [True, False])
+def test_rows_are_dropped_not_ids(spark, tmp_path, drop, written):
+    rows = spark.createDataFrame([(i, t, k, "s", 1.0) for k, (i, t) in enumerate(REPEATED)], "doc_id long, text string, at int, file string, `row` double")
+    if written:  # read from files, several of them, or not
+        rows.repartition(3).write.parquet(str(tmp_path / "docs"))
+        rows = spark.read.parquet(str(tmp_path / "docs"))
+    found = drop(rows)
+    assert found.columns == rows.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in found.collect()))) == sorted(map(str, [(0, "y"), (1, "x"), (None, "z"), (7, "w")]))
+
+
+def test_keys_are_the_rows(spark, documents, tmp_path):
+    from siftwell.llm import common
+
+    for rows in (documents, documents.union(documents), documents.repartition(5), documents.limit(0)):
+        found = common.keyed(rows)
+        again = found.select("file", "at", "row.doc_id").collect()
+        assert len({(r["file"], r["at"]) for r in again}) == len(again) == rows.count()
+        assert {(r["file"], r["at"]): r["doc_id"] for r in again} == {(r["file"], r["at"]): r["doc_id"] for r in found.select("file", "at", "row.doc_id").collect()}
+
+
+@pytest.mark.parametrize("keys", [2, 1000])
+def test_join_by_size(spark, monkeypatch, keys):
+    from siftwell.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rows = spark.range(100).selectExpr("id", "CASE WHEN id < 60 THEN 0 ELSE id % 7 END AS k")
+    table = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("most")).where("k <> 3")
+    for how in ("left", "inner", "left_semi"):
+        plain = rows.join(table, "k", how)
+        found = common.join_sized(rows, table, ["k"], how, "size", 100)
+        assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_bitmap_lets_all_open_keys_through(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("cast(id % 100 AS int) AS n", "id * 7919 - 5000 AS prefix")
+    open_keys = rows.where("n < 10")
+    plain = {tuple(r) for r in open_keys.collect()}
+    assert {tuple(r) for r in exact_dedup.maybe_open(rows, open_keys).collect()} == plain  # 300 of 4 million bits
+    monkeypatch.setattr(exact_dedup, "BITMAP_BITS", 1 << 15)
+    assert plain <= {tuple(r) for r in exact_dedup.maybe_open(rows, open_keys).collect()}
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
