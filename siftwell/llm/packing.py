@@ -2,8 +2,8 @@
 
 Pieces are dealt to nodes of bounded size and packed best-fit there, longest first. Bins that are nearly full are
 emitted; the others become items of the next level, where a few nodes' bins meet in one and are packed again, up to a
-single node. A level gets as many nodes as keep each within its bound, and the tree ends early when a level could
-not shrink what is left, so no task's share grows with the input.
+single node. A level gets as many nodes as keep each within its bound, so no task's share grows with the input. Where
+so many bins are left that nodes can't meet, they are dealt anew and packed again, until that makes hardly fewer.
 
 Where documents have an order, a node gets a stretch of it, and sequences are numbered by their first piece there."""
 
@@ -29,7 +29,11 @@ from siftwell.llm.token_counts import byte_alphabet
 CAPACITY = 1024
 END_ID = 2
 #: Items that one node packs.
-NODE_ITEMS = 60_000
+NODE_ITEMS = 2000
+#: Nodes that meet in one.
+MEETING = 8
+#: A level that leaves more than this share of the bins of the last one is the end, if nodes can't meet.
+STUCK = 0.99
 #: Bins that lack so few tokens are emitted.
 SLACK = 4
 #: A text has fewer pieces than this power of two.
@@ -141,18 +145,21 @@ def place(items: DataFrame, capacity: int = CAPACITY, node_items: int = NODE_ITE
         ends = rest.select(F.percentile_approx("order", [k / nodes for k in range(1, nodes)], 100 * nodes)).first()[0] if nodes > 1 else []
         node = F.size(F.filter(F.lit(ends).cast("array<long>"), lambda x: x < F.col("order"))).cast("long") if ends else F.lit(0).cast("long")
     state = rest.select("row", "length", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), node.alias("node"))
-    level = 1
+    level, before = 1, math.inf
     while count:
         packed = cut(state.groupBy("node").applyInPandas(pack_node(level, capacity), STATE))
         left = packed.where(F.col("fill") < capacity - slack)
         bins = left.select("bin").distinct().count() if nodes > 1 else 0
-        fewer = max(math.ceil(bins / node_items), math.ceil(nodes / 8))
-        if not bins or fewer >= nodes:
+        fewer = max(math.ceil(bins / node_items), math.ceil(nodes / MEETING))
+        if not bins or fewer >= nodes and bins > STUCK * before:
             done.append(packed.select("row", F.col("bin").alias("sequence_id"), "offset"))
             break
         done.append(packed.where(F.col("fill") >= capacity - slack).select("row", F.col("bin").alias("sequence_id"), "offset"))
-        meets = F.expr(f"(node * {fewer}L) DIV {nodes}L") if ordered else F.pmod(F.col("node"), F.lit(fewer))
-        state, nodes, level = left.withColumn("node", meets), fewer, level + 1
+        if fewer >= nodes:  # dealt by the bins, since nodes can't meet
+            fewer, meets = nodes, F.pmod(F.xxhash64("bin"), F.lit(nodes))
+        else:
+            meets = F.expr(f"(node * {fewer}L) DIV {nodes}L") if ordered else F.pmod(F.col("node"), F.lit(fewer))
+        state, nodes, level, before = left.withColumn("node", meets), fewer, level + 1, bins
     out = done[0]
     for part in done[1:]:
         out = out.union(part)

@@ -7,8 +7,12 @@ tokens ago. A transition is annotated with the change of the token count; the su
 its tokens. Transitions are compiled when first met and kept in a dense table.
 
 Texts are cut into chunks of equal length that are all read at once. A chunk's map from entry state to exit state
-is constant behind the first piece boundary in it, so chunks are read from there; then a scan composes the maps:
-what stands before the first boundary is read from the exit state of the chunk before."""
+is constant behind the first piece boundary in it, so chunks are read from there, and what stands before it is read
+from the exit state of the chunk before. Chunks without a boundary have real maps: from each state in which the chunk
+before may end to an exit state and a number of tokens. They are built for all such chunks at once, beginning with one
+guess, until every exit has its place in the next map, and a parallel prefix scan composes them by doubling. Since maps
+soon forget where they began, or go round, few states are tried; were that not so, each chunk would be read once for
+each state, which bounds the work by the square of the chunks of one piece."""
 
 from __future__ import annotations
 
@@ -140,8 +144,39 @@ class Transducer:
                 self.table[UNKNOWN] = UNKNOWN << 4 | 8
         return self.columns[raw]
 
+    def compose(self, columns: np.ndarray, whole: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and changes of the count of the chunks in `whole`, which have no boundary. state: exits of the others."""
+        inner = np.isin(whole - 1, whole)  # the chunk before has none, either
+        lanes, entries = [whole], [np.where(inner, ROOT, state[whole - 1])]
+        exits, totals = [], []
+        known = {pair: k for k, pair in enumerate(zip(whole.tolist(), entries[0].tolist()))}
+        follows = set(whole[inner].tolist())
+        while len(lanes) > len(exits):
+            at, lane = entries[-1].astype(np.int32), lanes[-1]
+            total = np.zeros(len(lane), np.int64)
+            for k in range(CHUNK):
+                entry = self.step(at, columns[k, lane])
+                total += (entry & 15) - 8
+                at = entry >> 4
+            exits.append(at)
+            totals.append(total)
+            new = {(c + 1, e): None for c, e in zip(lane.tolist(), at.tolist()) if c + 1 in follows and (c + 1, e) not in known}
+            if new:
+                known |= {pair: len(known) + k for k, pair in enumerate(new)}
+                lanes.append(np.array([c for c, _ in new]))
+                entries.append(np.array([e for _, e in new]))
+        exit_of, total_of, lane_of = np.concatenate(exits), np.concatenate(totals), np.concatenate(lanes)
+        jump = np.array([known.get((c + 1, e), k) for k, (c, e) in enumerate(zip(lane_of.tolist(), exit_of.tolist()))])
+        first = np.flatnonzero(~inner)
+        back = np.arange(len(whole)) - np.repeat(first, np.diff(np.append(first, len(whole))))  # chunks since the known entry
+        taken = np.arange(len(whole)) - back
+        while back.any():  # a map of 1, 2, 4, ... chunks where the distance has that bit
+            taken = np.where(back & 1, jump[taken], taken)
+            jump, back = jump[jump], back >> 1
+        return exit_of[taken], total_of[taken]
+
     def changes(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The change of the count at each byte."""
+        """The change of the count at each byte; in a chunk without a boundary all of it stands at the first."""
         if len(self.states) > MAX_STATES:
             self.restart()
         lanes = -(-len(raw) // CHUNK)
@@ -150,7 +185,7 @@ class Transducer:
         starts = np.ones(lanes * CHUNK, bool)  # what fills up the last chunk is pieces that are not read
         starts[: len(raw)] = begins
         columns, starts = columns.reshape(lanes, CHUNK).T.copy(), starts.reshape(lanes, CHUNK).T.copy()
-        out = np.zeros((CHUNK, lanes), np.int8)
+        out = np.zeros((CHUNK, lanes), np.int16)
         state = np.full(lanes, UNKNOWN, np.int32)
         for k in range(CHUNK):
             state[starts[k]] = ROOT
@@ -158,18 +193,16 @@ class Transducer:
             out[k] = (entry & 15) - 8
             state = entry >> 4
         head = np.where(starts.any(0), starts.argmax(0), CHUNK)
-        open_lanes = np.flatnonzero(head)
-        while len(open_lanes):  # compose: a chunk waits only for one that has no boundary and is itself open
-            settled = state[open_lanes - 1] != UNKNOWN
-            now, open_lanes = open_lanes[settled], open_lanes[~settled]
-            inner = state[now - 1]
-            for k in range(int(head[now].max())):
-                live = head[now] > k
-                entry = self.step(inner[live], columns[k, now[live]])
-                out[k, now[live]] = (entry & 15) - 8
-                inner[live] = entry >> 4
-            whole = head[now] == CHUNK
-            state[now[whole]] = inner[whole]
+        whole = np.flatnonzero(head == CHUNK)
+        if len(whole):
+            state[whole], out[0, whole] = self.compose(columns, whole, state)
+        part = np.flatnonzero((head > 0) & (head < CHUNK))
+        inner = state[part - 1]
+        for k in range(int(head[part].max(initial=0))):
+            live = head[part] > k
+            entry = self.step(inner[live], columns[k, part[live]])
+            out[k, part[live]] = (entry & 15) - 8
+            inner[live] = entry >> 4
         return out.T.reshape(-1)[: len(raw)]
 
     def counts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -35,6 +35,26 @@ def test_counts_of_any_texts(texts):
     assert counted(texts) == expected(texts)
 
 
+def test_chunks_without_a_boundary(monkeypatch):
+    """Pieces over many chunks: maps that forget, that go round, and chains of several lengths beside each other."""
+    rng = np.random.default_rng(2)
+    letters = lambda n, k: "".join(chr(97 + c) for c in rng.integers(0, k, n))
+    some = ["a" * 5000, "x " + "ab" * 2500 + " y", letters(4000, 26), "the " + letters(3000, 2) + " " + letters(2500, 3), "é" * 1500, " " * 3000 + "!" * 2000, "日本" * 900]
+    for chunk in (1024, 16, 5):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        assert counted(some) == expected(some)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab'é 1", max_size=200), min_size=1, max_size=4), st.integers(1, 9))
+def test_any_chunk_length(texts, chunk):
+    before, token_counts.CHUNK = token_counts.CHUNK, chunk
+    try:
+        assert counted(texts) == expected(texts)
+    finally:
+        token_counts.CHUNK = before
+
+
 def test_restart_does_not_change_counts(monkeypatch, texts):
     some = list(texts.values())[:40]
     monkeypatch.setattr(token_counts, "MAX_STATES", 50)
@@ -111,6 +131,23 @@ def test_tree_of_nodes(spark, length):
     assert len(sums) <= (2000 if length == 600 else 206)
 
 
+def test_tree_ends_where_nothing_fits(spark):
+    """Long items in half of the nodes and pairs of short ones in the others: no two bins fit in one."""
+    items = spark.range(1600).selectExpr("id AS row", "cast(CASE WHEN id < 800 THEN 600 ELSE 424 END AS long) AS length", "id AS order")
+    rows = packing.place(items, 1024, node_items=100).join(items, "row").toPandas()
+    sums = rows.groupby("sequence_id")["length"].sum()
+    assert len(rows) == 1600 and sums.max() <= 1024 and len(sums) == 1200
+
+
+@pytest.mark.parametrize("node_items", [30, 100])
+def test_query_with_many_nodes(spark, documents, texts, node_items):
+    """The whole way of the query through a tree of several levels."""
+    rows = packing.pack_documents(documents, queries.VOCABULARY, node_items=node_items).collect()
+    ids = {i: [*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    used, total = check_places(rows, ids, 1024), sum(map(len, ids.values()))
+    assert sum(r["length"] for r in rows) == total and used <= -(-total // 1024) + 3
+
+
 def test_sequences(spark, documents):
     some = documents.limit(30)
     packed = packing.pack_documents(some, queries.VOCABULARY, with_ids=True)
