@@ -29,7 +29,7 @@ from siftwell.llm.token_counts import byte_alphabet
 CAPACITY = 1024
 END_ID = 2
 #: Items that one node packs.
-NODE_ITEMS = 2000
+NODE_ITEMS = 4000
 #: Nodes that meet in one.
 MEETING = 8
 #: A level that leaves more than this share of the bins of the last one is the end, if nodes can't meet.
