@@ -1,5 +1,6 @@
 import heapq
 import math
+import random
 import re
 from collections import Counter
 
@@ -170,15 +171,76 @@ def test_query8(spark, sf_dir, texts):
         assert {*filter(None, r["base_labels"].split(","))} <= {*filter(None, r["labels"].split(","))} and 0 <= r["score"] <= 1
 
 
+def plain_labels(text):
+    """Template labels and the best share, with every template aligned at every place."""
+    words, labels, best = licenses.words_of(text.encode()), set(), 0.0
+    for label, passage, keys in licenses.TEMPLATES:
+        template = licenses.words_of(passage.encode())
+        allowed = int(len(template) * (1 - licenses.LEAST_SHARE) + 1e-9)
+        if len((Counter(template) & Counter(words)).keys()) < len({*template}) - allowed:
+            continue  # too few of its words anywhere
+        width = 2 * allowed + licenses.SLACK
+        for begin in range(-len(template) - width, len(words)):
+            span = words[max(0, begin) : begin + len(template) + width]
+            joined = b" " + b" ".join(span) + b" "
+            if not all(b" " + k.encode() + b" " in joined for k in keys.split("|")):
+                continue
+            n = [[0] * (width + 2) for _ in range(len(template) + 1)]
+            for k, w in enumerate(template, 1):
+                for d in range(width + 1):
+                    at = begin + k - 1 + d
+                    hit = n[k - 1][d] + 1 if 0 <= at < len(words) and words[at] == w else 0
+                    n[k][d] = max(hit, n[k - 1][d + 1], n[k][d - 1] if d else 0)
+            most = max(n[-1])
+            if most >= len(template) - allowed:
+                labels.add(label)
+                best = max(best, most / len(template))
+    return labels, best
+
+
+def check_labels(index, text):
+    row = index.scan(text.encode())
+    labels, best = plain_labels(text)
+    assert {*filter(None, row[5].split(","))} == labels | {*filter(None, row[4].split(","))}
+    assert row[6] == pytest.approx(1.0 if row[4] else best)
+    return labels
+
+
+def test_template_labels_by_brute_force(spark, sf_dir, texts):
+    found = {r["doc_id"]: r for r in queries.op8_license_scan(spark, sf_dir).collect()}
+    for i, t in texts.items():
+        labels, best = plain_labels(t)
+        row = found[i]
+        assert {*filter(None, row["labels"].split(","))} == labels | {*filter(None, row["base_labels"].split(","))}
+        assert row["score"] == pytest.approx(1.0 if row["base_labels"] else best)
+
+
 def test_templates():
-    index = licenses.Index({}, 10)
-    for label, (words, key) in licenses.TEMPLATES.items():
-        assert label in index.scan(f"Intro. {words.upper()}; more".encode())[5].split(",")
-        broken = words.replace(key.split()[0], "other", 1) if words.startswith(key) else words.replace(key, "something else")
-        assert label not in index.scan(broken.encode())[5].split(",")
+    """Each passage, whole and with words changed, put in and left out, is found as brute force finds it."""
+    index = licenses.Index({b"the": 9, b"of": 9, b"and": 8, b"software": 5}, 10)
+    for t, (label, passage, keys) in enumerate(licenses.TEMPLATES):
+        assert label in check_labels(index, f"Intro. {passage.upper()}; more {passage}")
+        key = keys.split("|")[0].split()
+        assert label not in check_labels(index, re.sub("(?i)" + r"[^0-9a-z]+".join(key), "something else", passage))
+        rng = random.Random(t)
+        for _ in range(6):
+            words = licenses.words_of(passage.encode())
+            for _ in range(rng.randint(0, max(1, len(words) // 4))):
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice(([], [b"other"], [words[k], b"more"], [b"the", words[k]]))
+            check_labels(index, "some words before " + b" ".join(words).decode() + " and behind")
     assert index.scan(b"cc by cc by")[:5] == (4, 2, 0, 2, "cc-by")
 
 
+def test_real_notices():
+    index = licenses.Index({}, 10)
+    header = "/* This program is free software; you can redistribute it and / or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License or (at your choice) any later version. */"
+    assert index.scan(header.encode())[5] == "gpl,gpl-3.0"
+    assert index.scan(b"GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright")[5] == "gpl,gpl-3.0"
+    assert index.scan(b"This article is licensed under a Creative Commons Attribution 4.0 International licence.")[5] == "cc-by-4.0"
+    assert index.scan(b"the software is free and everybody may use the library of the foundation in any version")[5:] == ("", 0.0)
+
+
 def test_odd_rows8(odd, empty):
     found = licenses.scan_licenses(odd).collect()
     assert len(found) == odd.count() and {r["n_words"] for r in found if r["doc_id"] in (1, 2, 3)} == {0}
