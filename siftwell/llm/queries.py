@@ -89,10 +89,46 @@ FROM ranked b JOIN planned p ON p.idx = b.idx AND p.k = b.rank // 8 CROSS JOIN l
 """
 
 
+#: Host, path and fixed rules; tokens; all combinations of up to three tokens of the URLs that a fixed rule judges, with
+#: their counts by label; what support, confidence and shorter rules leave; and the best that fits.
+OP7_SQL = r"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), fixed(what, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+judged AS (
+  SELECT u.*, (SELECT max_by(h || p, length(h || p)) FROM fixed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+    (SELECT max_by(what, length(h || p)) FROM fixed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS fixed_verdict,
+    string_split(host, '.') AS labels, list_filter(string_split_regex(host, '[.\-]'), lambda x: x <> '') AS words, split_part(path, '/', 2) AS first FROM parts u
+), tokens AS (
+  SELECT *, row_number() OVER () AS n, CASE WHEN host = '' THEN [] ELSE list_distinct(list_concat(
+      ['d:' || labels[-1], 'd:' || array_to_string(labels[greatest(1, len(labels) - 1):], '.')], list_transform(words[:greatest(len(words) - 2, 0)], lambda x: 'w:' || x),
+      CASE WHEN first <> '' AND NOT regexp_matches(first, '^[0-9]+(\.\w+)?$') THEN ['p:' || first] ELSE [] END)) END AS t FROM judged
+), each AS (SELECT n, fixed_verdict AS label, unnest(t) AS x FROM tokens WHERE fixed_verdict IS NOT NULL),
+general AS (
+  SELECT * FROM each WHERE x NOT IN (SELECT 'w:' || unnest(string_split_regex(h, '[.\-]')) FROM fixed) AND x NOT IN (SELECT 'p:' || split_part(p, '/', 2) FROM fixed WHERE p <> '/')
+    AND NOT (starts_with(x, 'd:') AND EXISTS (SELECT 1 FROM fixed WHERE ends_with('.' || substr(x, 3), '.' || h) OR ends_with('.' || h, '.' || substr(x, 3))))
+), sets AS (
+  SELECT n, label, [x] AS antecedent FROM general
+  UNION ALL SELECT a.n, a.label, [a.x, b.x] FROM general a JOIN general b ON a.n = b.n AND a.x < b.x
+  UNION ALL SELECT a.n, a.label, [a.x, b.x, c.x] FROM general a JOIN general b ON a.n = b.n AND a.x < b.x JOIN general c ON c.n = b.n AND b.x < c.x
+), counts AS (SELECT antecedent, label, count(*) AS support, sum(count(*)) OVER (PARTITION BY antecedent) AS every FROM sets GROUP BY antecedent, label),
+sure AS (
+  SELECT antecedent, label AS mined_verdict, support, CAST(support AS DOUBLE) / CAST(every AS DOUBLE) AS confidence FROM counts
+  WHERE support >= ceil(0.002e0 * (SELECT count(*) FROM tokens WHERE fixed_verdict IS NOT NULL)) AND CAST(support AS DOUBLE) / CAST(every AS DOUBLE) >= 0.9e0
+), mined AS (
+  SELECT * FROM sure r WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.mined_verdict = r.mined_verdict AND len(s.antecedent) = len(r.antecedent) - 1 AND list_has_all(r.antecedent, s.antecedent) AND s.confidence >= r.confidence)
+), hits AS (
+  SELECT k.n, m.*, array_to_string(m.antecedent, ' ') AS mined_rule FROM tokens k JOIN mined m ON list_has_all(k.t, m.antecedent)
+), best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY n ORDER BY confidence DESC, len(antecedent) DESC, mined_verdict = 'block' DESC, support DESC, mined_rule DESC) = 1)
+SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.fixed_verdict, b.mined_verdict, 'allow') AS verdict, b.mined_rule, b.confidence FROM tokens k LEFT JOIN best b ON b.n = k.n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_toxicity, op2_best_fit_packing, op3_mix_sources, op4_token_counts, op5_exact_dedup, op6_quality_knn, op7_url_rules, op8_license_scan, op9_quality_rules, op10_simhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_url_rules": OP7_SQL}
