@@ -67,9 +67,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet to the path, or to the shared folder, and read again."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -68,6 +68,42 @@ def test_mixture_of_odd_ids(spark):
     assert mixing.mixed(docs).count() == 9
 
 
+def test_odd_rows_through_all_stages(spark, odd, tmp_path):
+    """Null and repeated ids, repeated rows, empty and long texts, clashing names: one row of each text, and all its tokens."""
+    extra = [(0, "same text here", "b"), (1, "another text here", "a"), (1, "same text here", "a"), (None, "same text here", "a"), (None, "only here", None), (None, "only here", None)]
+    rows = odd.unionByName(spark.createDataFrame([(*r, "x", 0, "h", 1.5) for r in extra], odd.schema))
+    named = rows.withColumnsRenamed({"n": "_quality_score", "score": "position", "key": "row", "_n": "at"})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = named
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert docs.columns == named.columns
+            docs.write.parquet(str(tmp_path / str(k)))
+            docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k == 1:
+            kept = sorted((r["text"] or "", r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())
+            assert [t for t, _, _ in kept] == sorted({" ".join(t.split(" ")) for t, _, _ in kept}) and ("same text here", False, 0) in kept and ("only here", True, 0) in kept
+        if k == 2:
+            left = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    packed = docs.toPandas()
+    assert packed["length"].sum() == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in left)
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import pathlib
+
+    from siftwell.llm import common
+
+    folder = pathlib.Path(common.shared_folder(spark))
+    before = {p.name for p in folder.iterdir()}
+    corpus_pipeline.run(spark, SF)
+    assert len([p for p in folder.iterdir() if p.name not in before and p.name.endswith(".parquet")]) == 1
+
+
 def test_empty(spark, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
