@@ -118,22 +118,25 @@ def fit(sample: list[Sparse], labels: np.ndarray) -> Space:
     return space
 
 
-def sample_counts(sample: DataFrame) -> list:
-    """Rows doc_id, label, terms, counts of the sample. Texts stay in the executors; what comes has at most TERMS numbers for each."""
+def sample_counts(sample: DataFrame) -> tuple[list[int], np.ndarray, list[Sparse]]:
+    """Ids, labels and counts of the sample, by id. Texts stay in the executors; what comes, as bytes, has at most TERMS
+    numbers for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
             found = texts(batch.column(2))
-            rows = [(np.flatnonzero(x), x[x > 0]) for k in range(0, len(found), BLOCK) for x in term_counts(found[k : k + BLOCK])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.float32()))], ["doc_id", "label", "terms", "counts"])
+            rows = [(np.flatnonzero(x).astype("<i4").tobytes(), x[x > 0].astype("<f4").tobytes()) for k in range(0, len(found), BLOCK) for x in term_counts(found[k : k + BLOCK])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())], ["doc_id", "label", "terms", "counts"])
 
-    return sorted(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms array<int>, counts array<float>").collect(), key=lambda r: r["doc_id"])
+    found = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, terms binary, counts binary").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    return [r["doc_id"] for r in found], np.array([r["label"] for r in found]), [(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in found]
 
 
 def with_scores(rows: DataFrame, docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
     """The columns of rows with a score, a double, in the place of the last, a text. Nothing is shuffled."""
-    sample = sample_counts(training_sample(docs, labels, "quality", folds, held_out, SAMPLE))
-    space = fit([(np.array(r["terms"], np.int64), np.array(r["counts"], np.float32)) for r in sample], np.array([r["label"] for r in sample])) if sample else None
+    _, known, counts = sample_counts(training_sample(docs, labels, "quality", folds, held_out, SAMPLE))
+    space = fit(counts, known) if counts else None
     sent = rows.sparkSession.sparkContext.broadcast(space)  # bounded by the sample's parameter
     last = len(rows.columns) - 1
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(rows.columns[-1], T.DoubleType())])

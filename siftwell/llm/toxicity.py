@@ -140,11 +140,11 @@ def train(sample: DataFrame) -> Model:
             found, rows = batch.column(2).to_pylist(), []
             for part in blocks(len(found)):
                 docs, own = present(found[part], column >= 0)
-                rows += [column[own[docs == k]] for k in range(len(found[part]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
+                rows += [column[own[docs == k]].astype("<i4").tobytes() for k in range(len(found[part]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
 
-    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features array<int>").collect())
-    weight, bias = fit([np.array(r["features"], np.int64) for r in rows], np.array([r["label"] for r in rows]), ratio)
+    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary").collect())
+    weight, bias = fit([np.frombuffer(r["features"], "<i4") for r in rows], np.array([r["label"] for r in rows]), ratio)
     weights[grams] = ratio * weight
     return Model(weights, bias)
 

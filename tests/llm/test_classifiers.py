@@ -125,12 +125,12 @@ def plain_counts(text):
 def test_quality_by_brute_force(spark, documents, texts):
     """The scores of the query are the votes over all vectors of the sample, text by text."""
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    sample = quality_knn.sample_counts(toxicity.training_sample(documents, labels, "quality", 4, 2, quality_knn.SAMPLE))
+    ids, marks, counts = quality_knn.sample_counts(toxicity.training_sample(documents, labels, "quality", 4, 2, quality_knn.SAMPLE))
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    assert [r["doc_id"] for r in sample] == sorted(i for i in known if i in texts and not held(i, 4, 2))
-    for r in sample[:40]:
-        assert dict(zip(r["terms"], r["counts"])) == {k: v for k, v in plain_counts(texts[r["doc_id"]].encode()).items() if v}
-    space = quality_knn.fit([(np.array(r["terms"]), np.array(r["counts"], np.float32)) for r in sample], np.array([r["label"] for r in sample]))
+    assert ids == sorted(i for i in known if i in texts and not held(i, 4, 2)) and marks.tolist() == [known[i] for i in ids]
+    for i, (terms, n) in [*zip(ids, counts)][:40]:
+        assert dict(zip(terms.tolist(), n.tolist())) == {k: v for k, v in plain_counts(texts[i].encode()).items() if v}
+    space = quality_knn.fit(counts, marks)
     for r in queries.op6_quality_knn(spark, "/root/testdata/sf0.001").collect():
         v = space.project(quality_knn.term_counts([texts[r["doc_id"]].encode()]))[0]
         assert r["score"] == pytest.approx(plain_vote(space, v), abs=1e-3)
