@@ -8,7 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+#: Runs of Han characters, and runs of other letters and numbers.
+WORD = r"[一-鿿]+|[\p{L}\p{N}&&[^一-鿿]]+"
+HAN = "^[一-鿿]"
 #: A token stays if it has a letter or a number that isn't a plain digit.
 MEANING = r"[\p{L}\p{Nl}\p{No}]"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -31,9 +33,12 @@ def clean_crawled(text: Column) -> Column:
 def tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
     """Lower-case words in their order, repeats included, without stop words and words of digits only.
 
-    Words are runs of letters and numbers. Text without spaces between words, such as Chinese, needs a segmenter:
-    see siftwell.functions.segment."""
+    Words are runs of letters and numbers. Han characters, which have no spaces between words, become overlapping pairs
+    where they are more than one; siftwell.functions.segment cuts them into words."""
     words = F.regexp_extract_all(F.lower(clean_for_index(F.coalesce(text, F.lit("")))), F.lit(WORD), F.lit(0))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
+    cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike(HAN) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    words = F.when(F.exists(words, lambda w: w.rlike(HAN)), cut).otherwise(words)
     stop = sorted({*stop_words})
     return F.filter(words, lambda t: t.rlike(MEANING) & ~t.isin(stop) if stop else t.rlike(MEANING))
 

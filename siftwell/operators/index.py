@@ -1,24 +1,30 @@
 """The inverted index as tables: postings, term statistics, document lengths, corpus statistics.
 
-Postings are long rows (field, term, doc_id, tf). Source tokens count as title terms but not in the title's length."""
+Postings are long rows (field, term, doc_id, tf, size); size is the field's length in the document, so that a search
+needs no other table to score. Source tokens count as title terms but not in the title's length."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions import segment
 from siftwell.functions.text import tokens
 from siftwell.schema import with_defaults
 
 Analyzer = Callable[[Column], Column]
 
 
-def analyzer(stop_words: Iterable[str] = ()) -> Analyzer:
+def analyzer(stop_words: Iterable[str] = (), segmented: bool | None = None) -> Analyzer:
+    """segmented: whether texts with Han characters go through the segmenter; by default where one is installed."""
     stop = tuple(stop_words)
-    return lambda text: tokens(text, stop)
+    cut = segment.segmented_tokens if (segment.installed() if segmented is None else segmented) else tokens
+    return lambda text: cut(text, stop)
 
 
 def analyzed(docs: DataFrame, analyze: Analyzer) -> DataFrame:
@@ -28,25 +34,36 @@ def analyzed(docs: DataFrame, analyze: Analyzer) -> DataFrame:
 
 
 def postings_of(rows: DataFrame, terms: Iterable[str] | None = None) -> DataFrame:
-    """field, term, doc_id, tf. With terms, only theirs, and other tokens are dropped before any are exploded."""
+    """field, term, doc_id, tf, size. With terms, only theirs, and other tokens are dropped before any are exploded."""
     fields = {"title": F.concat("title_tokens", "source_tokens"), "content": F.col("content_tokens")}
+    sizes = {"title": F.size("title_tokens"), "content": F.size("content_tokens")}
     if terms is not None:
         wanted = list(terms)
         fields = {k: F.filter(v, lambda t: t.isin(wanted)) for k, v in fields.items()}
-    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("terms")) for k, v in fields.items())))
-    rows = rows.select("doc_id", parts.alias("f")).select("doc_id", "f.field", F.explode("f.terms").alias("term"))
-    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("terms"), sizes[k].alias("size")) for k, v in fields.items())))
+    rows = rows.select("doc_id", parts.alias("f")).select("doc_id", "f.field", "f.size", F.explode("f.terms").alias("term"))
+    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.max("size").alias("size"))
 
 
 def lengths_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("title_tokens").alias("title_len"), F.size("content_tokens").alias("content_len"))
 
 
+def sums_of(lengths: DataFrame) -> DataFrame:
+    """One row: n_docs, title_sum, content_sum."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return lengths.agg(F.count("*").alias("n_docs"), total("title_len").alias("title_sum"), total("content_len").alias("content_sum"))
+
+
+def averages_of(sums: DataFrame) -> DataFrame:
+    """One row for rows of sums: n_docs, avg_title_len, avg_content_len (0 for an empty corpus), and the sums."""
+    sums = sums.agg(*(F.sum(c).alias(c) for c in ("n_docs", "title_sum", "content_sum")))
+    mean = lambda c: F.when(F.col("n_docs") > 0, F.col(c).cast("double") / F.col("n_docs")).otherwise(F.lit(0.0))
+    return sums.select("n_docs", mean("title_sum").alias("avg_title_len"), mean("content_sum").alias("avg_content_len"), "title_sum", "content_sum")
+
+
 def statistics_of(lengths: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_title_len, avg_content_len (0 for an empty corpus)."""
-    n = F.count("*")
-    mean = lambda c: F.when(n > 0, F.sum(c).cast("double") / n).otherwise(F.lit(0.0))
-    return lengths.agg(n.alias("n_docs"), mean("title_len").alias("avg_title_len"), mean("content_len").alias("avg_content_len"))
+    return averages_of(sums_of(lengths))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -60,19 +77,24 @@ class Index:
     term_stats: DataFrame
     doc_len: DataFrame
     corpus_stats: DataFrame
+    #: Analysed documents, where the index has just been built from them.
+    rows: DataFrame | None = None
 
     TABLES = ("docs", "postings", "term_stats", "doc_len", "corpus_stats")
 
     def save(self, path: str) -> None:
         """Parquet under path, as batch 0; see append()."""
-        write_batch(self.docs, self.postings, self.doc_len, path, 0)
-        refresh(self.docs.sparkSession, path)
+        write_batch(self, path, 0)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
+        """What the last batch that was finished left; later ones that are being written aren't seen."""
         try:
-            return cls(*(spark.read.parquet(f"{path}/{t}").drop("batch") for t in cls.TABLES))
-        except Exception as missing:
+            version = latest(spark, path)
+            batches = (spark.read.parquet(f"{path}/{t}").where(F.col("batch") <= version).drop("batch") for t in ("docs", "postings", "doc_len"))
+            docs, postings, doc_len = batches
+            return cls(docs, postings, spark.read.parquet(f"{path}/term_stats/{version}"), doc_len, spark.read.parquet(f"{path}/corpus_stats/{version}"))
+        except (AnalysisException, TypeError) as missing:
             raise FileNotFoundError(f"there is no index at {path}: build it first") from missing
 
     def vocabulary(self, field: str | None = None) -> DataFrame:
@@ -92,29 +114,44 @@ class Index:
 def build(docs: DataFrame, stop_words: Iterable[str] = (), analyze: Analyzer | None = None) -> Index:
     rows = analyzed(docs, analyze or analyzer(stop_words))
     postings, lengths = postings_of(rows), lengths_of(rows)
-    return Index(with_defaults(docs), postings, term_statistics(postings), lengths, statistics_of(lengths))
-
-
-def write_batch(docs: DataFrame, postings: DataFrame, lengths: DataFrame, path: str, batch: int) -> None:
-    """A folder for each batch. Postings are clustered by field and term, so that a term's lookup reads few row groups."""
-    clustered = postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-    for name, rows in (("docs", docs), ("postings", clustered), ("doc_len", lengths)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
-
-
-def refresh(spark: SparkSession, path: str) -> None:
-    """Rebuild the statistics of terms and corpus from what is saved."""
-    stats = term_statistics(spark.read.parquet(f"{path}/postings"))
-    stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats")
-    statistics_of(spark.read.parquet(f"{path}/doc_len")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    return Index(with_defaults(docs), postings, term_statistics(postings), lengths, statistics_of(lengths), rows)
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The number of the last finished batch (before a given one)."""
+    done = spark.read.parquet(f"{path}/done")
+    return done.where(F.col("batch") < before if before is not None else F.lit(True)).agg(F.max("batch")).first()[0]
+
+
+def write_batch(batch: Index, path: str, number: int) -> None:
+    """A folder for each batch. Postings are clustered by field and term, so that a term's lookup reads few row groups.
+
+    The statistics of a batch are those of the batch before and its own postings' added up; nothing older is counted
+    again. They get a folder of their own, and a mark at the end makes them the current ones, so searches see one state
+    or the other. The analysed documents are kept until they are written, so that texts are cut into tokens once."""
+    spark = batch.docs.sparkSession
+    if batch.rows is not None:
+        batch.rows.persist(StorageLevel.DISK_ONLY)
+    clustered = batch.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+    for name, rows in (("docs", batch.docs), ("postings", clustered), ("doc_len", batch.doc_len)):
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+    if batch.rows is not None:
+        batch.rows.unpersist()
+    own = term_statistics(spark.read.parquet(f"{path}/postings/batch={number}"))
+    lengths = sums_of(spark.read.parquet(f"{path}/doc_len/batch={number}"))
+    before = latest(spark, path, number) if number else None
+    if before is not None:
+        own = own.union(spark.read.parquet(f"{path}/term_stats/{before}")).groupBy("field", "term").agg(F.sum("df").alias("df"))
+        lengths = lengths.union(spark.read.parquet(f"{path}/corpus_stats/{before}").select("n_docs", "title_sum", "content_sum"))
+    own.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/term_stats/{number}")
+    averages_of(lengths).write.mode("overwrite").parquet(f"{path}/corpus_stats/{number}")
+    spark.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/done/part={number}")
 
 
 def append(spark: SparkSession, path: str, docs: DataFrame, batch: int, stop_words: Iterable[str] = (), analyze: Analyzer | None = None) -> None:
-    """Add documents with new ids to a saved index, as a batch with a number from 1. A batch that comes again replaces
-    itself, so a job that was broken off can be run once more."""
-    rows = analyzed(docs, analyze or analyzer(stop_words))
-    write_batch(with_defaults(docs), postings_of(rows), lengths_of(rows), path, batch)
-    refresh(spark, path)
+    """Add documents with new ids to a saved index, as a batch with a number from 1, in this order. A batch that comes
+    again replaces itself, so a job that was broken off can be run once more."""
+    write_batch(build(docs, stop_words, analyze), path, batch)
 
 
 def keywords(docs: DataFrame, column: str = "content", k: int = 10, analyze: Analyzer | None = None) -> DataFrame:

@@ -57,10 +57,10 @@ def saturation(tf: Column, length: Column, mean: Column, k1: float = K1, b: floa
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
-def bm25(postings: DataFrame, term_stats: DataFrame, doc_len: DataFrame, corpus_stats: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(postings: DataFrame, term_stats: DataFrame, corpus_stats: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """terms: query_id, term (repeats count). query_id, doc_id, bm25: fields' scores, weighed and summed over the terms.
 
-    The terms meet their statistics first; what is left joins the postings, and documents' lengths join the hits."""
+    The terms meet their statistics first; what is left joins the postings, which have all that the score needs."""
     weights = weights or FIELD_WEIGHTS
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     stats = corpus_stats.select(F.col("n_docs").cast("double").alias("n_docs"), "avg_title_len", "avg_content_len")
@@ -68,12 +68,16 @@ def bm25(postings: DataFrame, term_stats: DataFrame, doc_len: DataFrame, corpus_
     in_title = F.col("field") == "title"
     weight = F.when(in_title, F.lit(weights["title"])).otherwise(F.lit(weights["content"]))
     wanted = wanted.select("query_id", "term", "field", (weight * F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("gain"), F.when(in_title, F.col("avg_title_len")).otherwise(F.col("avg_content_len")).alias("mean"))
-    hits = postings.join(wanted, ["field", "term"]).join(doc_len, "doc_id", "left")
-    length = F.coalesce(F.when(in_title, F.col("title_len")).otherwise(F.col("content_len")), F.lit(0))
-    part = F.when(length > 0, F.col("gain") * saturation(F.col("tf"), length, F.col("mean"), k1, b)).otherwise(F.lit(0.0))
+    hits = postings.join(wanted, ["field", "term"])
+    part = F.when(F.col("size") > 0, F.col("gain") * saturation(F.col("tf"), F.col("size"), F.col("mean"), k1, b)).otherwise(F.lit(0.0))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
 
 
+def rounded(score: Column, digits: int) -> Column:
+    """A sum of scores, rounded half up as a decimal, so that what lies on a half doesn't hang on a double's last bit."""
+    return F.round(score.cast("decimal(30,9)"), digits).cast("double")
+
+
 def recency_boost(publish_time: Column, as_of: Column) -> Column:
     age, out = F.datediff(as_of, F.try_to_date(publish_time, "y-M-d")), F.lit(0.0)
     for days, boost in reversed(RECENCY):
@@ -133,15 +137,15 @@ def scored(docs: DataFrame, as_of: Column, query: str | Column | None, user_id:
     kw, src = kw if keywords is None else keywords, src if sources is None else sources
     recency, source = recency_boost(F.col("publish_time"), as_of), source_boost(F.col("source_site"), source_boosts)
     docs = docs.select("*", recency.alias("recency_boost"), source.alias("source_boost"))
-    pre = F.round(F.col("bm25") + F.col("recency_boost") + F.col("source_boost"), 4)
+    pre = rounded(F.col("bm25") + F.col("recency_boost") + F.col("source_boost"), 4)
     if query is not None:
         docs = docs.withColumn("exact_boost", exact_boost(query, F.col("title"), F.col("url"), F.col("source_site")))
         pre = pre + F.col("exact_boost")
     personal = profile_boost(F.col("title"), F.col("content"), F.col("source_site"), kw, src)
-    docs = docs.select("*", F.round("bm25", 4).alias("bm25_score"), pre.alias("pre_score"), personal.alias("personalization_score"))
+    docs = docs.select("*", rounded(F.col("bm25"), 4).alias("bm25_score"), pre.alias("pre_score"), personal.alias("personalization_score"))
     return docs.select(
         "*",
-        F.round(F.col("pre_score") + F.col("personalization_score"), 3).alias("final_score"),
+        rounded(F.col("pre_score") + F.col("personalization_score"), 3).alias("final_score"),
         penalized(F.col("pre_score"), F.col("content_quality")).alias("score"),
         quality_order(F.col("content_quality")).alias("quality_rank"),
     )

@@ -109,6 +109,11 @@ def bm25_sql(queries: str, title: str = "3e0", content: str = "1e0") -> str:
   )"""
 
 
+def dec(x: str, digits: int) -> str:
+    """As ranking.rounded()."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30,9)), {digits}) AS DOUBLE)"
+
+
 def values(words: tuple[str, ...], query_id: int = 0) -> str:
     return " UNION ALL ".join(f"SELECT {query_id} AS query_id, {w!r} AS term" for w in words)
 
@@ -137,7 +142,7 @@ def stopword_filter(spark, sf_dir):
 
 @query(f"WITH {POSTINGS} SELECT * FROM postings")
 def postings_tf(spark, sf_dir):
-    return index.build(corpus(spark, sf_dir)).postings
+    return index.build(corpus(spark, sf_dir)).postings.drop("size")
 
 
 @query(f"WITH {INDEX} SELECT field, term, df FROM term_stats")
@@ -185,37 +190,37 @@ def keyword_extract_topk(spark, sf_dir):
 # --- search
 
 
-@query(f"WITH {bm25_sql(values(ASKED))} SELECT doc_id, round(bm25, 4) AS score FROM scores ORDER BY round(bm25, 4) DESC, doc_id LIMIT 20")
+@query(f"WITH {bm25_sql(values(ASKED))} SELECT doc_id, {dec('bm25', 4)} AS score FROM scores ORDER BY {dec('bm25', 4)} DESC, doc_id LIMIT 20")
 def bm25_or_search(spark, sf_dir):
     rows = index.analyzed(corpus(spark, sf_dir), index.analyzer())
-    lengths, postings = index.lengths_of(rows), index.postings_of(rows, ASKED)
+    postings = index.postings_of(rows, ASKED)
     wanted = spark.createDataFrame([(0, t) for t in ASKED], "query_id int, term string")
-    scores = ranking.bm25(postings, index.term_statistics(postings), lengths, index.statistics_of(lengths), wanted)
-    return scores.select("doc_id", F.round("bm25", 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    scores = ranking.bm25(postings, index.term_statistics(postings), index.statistics_of(index.lengths_of(rows)), wanted)
+    return scores.select("doc_id", ranking.rounded(F.col("bm25"), 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(
     f"""WITH {bm25_sql(values(ASKED))}, met AS (
   SELECT p.doc_id FROM postings p JOIN wanted w ON w.term = p.term GROUP BY p.doc_id
   HAVING count(DISTINCT p.term) = (SELECT count(DISTINCT term) FROM postings WHERE term IN (SELECT term FROM wanted))
-) SELECT doc_id, round(bm25, 4) AS score FROM scores WHERE doc_id IN (SELECT doc_id FROM met) ORDER BY round(bm25, 4) DESC, doc_id LIMIT 20"""
+) SELECT doc_id, {dec('bm25', 4)} AS score FROM scores WHERE doc_id IN (SELECT doc_id FROM met) ORDER BY {dec('bm25', 4)} DESC, doc_id LIMIT 20"""
 )
 def bm25_and_search(spark, sf_dir):
     found, _, _, _ = engine(spark, sf_dir).ranked(WORDS, "normal")
     return found.select("doc_id", F.col("bm25_score").alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query(f"WITH {bm25_sql(values(ASKED), '5e0', '2e0')} SELECT doc_id, round(bm25, 4) AS score FROM scores")
+@query(f"WITH {bm25_sql(values(ASKED), '5e0', '2e0')} SELECT doc_id, {dec('bm25', 4)} AS score FROM scores")
 def bm25_two_field(spark, sf_dir):
     built = index.build(corpus(spark, sf_dir))
     wanted = spark.createDataFrame([(0, t) for t in ASKED], "query_id int, term string")
-    scores = ranking.bm25(built.lookup(ASKED), built.term_stats, built.doc_len, built.corpus_stats, wanted, {"title": 5.0, "content": 2.0})
-    return scores.select("doc_id", F.round("bm25", 4).alias("score"))
+    scores = ranking.bm25(built.lookup(ASKED), built.term_stats, built.corpus_stats, wanted, {"title": 5.0, "content": 2.0})
+    return scores.select("doc_id", ranking.rounded(F.col("bm25"), 4).alias("score"))
 
 
 @query(
     f"""WITH {bm25_sql(f"SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark")},
-  rounded AS (SELECT query_id, doc_id, round(bm25, 4) AS score FROM scores),
+  rounded AS (SELECT query_id, doc_id, {dec('bm25', 4)} AS score FROM scores),
   ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM rounded)
 SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 5"""
 )
@@ -240,15 +245,17 @@ def wildcard_docs(spark, sf_dir):
     return built.postings.join(terms.wildcard_terms(built.vocabulary(), "thing*"), "term", "left_semi").select("doc_id").distinct()
 
 
-ASCII = "regexp_matches(term, '^[a-z0-9]+$')"
+#: DuckDB's distance counts bytes: letters beyond ASCII get one byte each, from what terms don't have.
+BEYOND = "áàâäãåçéèêëíìîïñóòôöõßúùûüýÿæœøðþ"
+ONE_BYTE = f"translate({{}}, '{BEYOND}', '{''.join(map(chr, [*range(65, 91), *range(33, 39), *range(40, 48)]))[: len(BEYOND)]}')"
 FUZZY = ("thing", "wiht", "ofthe")
-SIMILAR = f"""{INDEX}, vocabulary AS (SELECT DISTINCT term FROM term_stats WHERE {ASCII}), asked AS ({' UNION ALL '.join(f'SELECT {k} AS position, {t!r} AS query_term' for k, t in enumerate(FUZZY))}),
-  near AS (SELECT query_term, position, term, CAST(levenshtein(query_term, term) AS INTEGER) AS distance FROM asked, vocabulary WHERE abs(length(term) - length(query_term)) <= 2 AND levenshtein(query_term, term) <= 2),
+SIMILAR = f"""{INDEX}, vocabulary AS (SELECT DISTINCT term FROM term_stats), asked AS ({' UNION ALL '.join(f'SELECT {k} AS position, {t!r} AS query_term' for k, t in enumerate(FUZZY))}),
+  near AS (SELECT query_term, position, term, CAST(levenshtein(query_term, {ONE_BYTE.format('term')}) AS INTEGER) AS distance FROM asked, vocabulary WHERE abs(length(term) - length(query_term)) <= 2 AND levenshtein(query_term, {ONE_BYTE.format('term')}) <= 2),
   ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_term ORDER BY distance, length(term) DESC, term) AS INTEGER) AS rank FROM near)"""
 
 
-def ascii_vocabulary(spark, sf_dir):
-    return index.build(corpus(spark, sf_dir)).vocabulary().where(F.col("term").rlike("^[a-z0-9]+$"))
+def vocabulary(spark, sf_dir):
+    return index.build(corpus(spark, sf_dir)).vocabulary()
 
 
 def fuzzy_asked(spark):
@@ -257,7 +264,7 @@ def fuzzy_asked(spark):
 
 @query(f"WITH {SIMILAR} SELECT query_term, term, distance, rank FROM ranked WHERE rank <= 10")
 def fuzzy_similar_terms(spark, sf_dir):
-    return terms.similar_terms(ascii_vocabulary(spark, sf_dir), fuzzy_asked(spark))
+    return terms.similar_terms(vocabulary(spark, sf_dir), fuzzy_asked(spark))
 
 
 @query(
@@ -266,12 +273,12 @@ def fuzzy_similar_terms(spark, sf_dir):
 SELECT term, CAST(row_number() OVER (ORDER BY place, term) AS INTEGER) AS ordinal FROM first"""
 )
 def fuzzy_expand(spark, sf_dir):
-    return terms.expand(ascii_vocabulary(spark, sf_dir), fuzzy_asked(spark))
+    return terms.expand(vocabulary(spark, sf_dir), fuzzy_asked(spark))
 
 
-@query(f"WITH {INDEX} SELECT term, round(CASE WHEN term = 'thing' THEN 1e0 ELSE 1e0 - CAST(levenshtein('thing', term) AS DOUBLE) / greatest(5, length(term)) END, 6) AS match_score FROM (SELECT DISTINCT term FROM term_stats WHERE {ASCII})")
+@query(f"WITH {INDEX} SELECT term, round(CASE WHEN term = 'thing' THEN 1e0 ELSE 1e0 - CAST(levenshtein('thing', {ONE_BYTE.format('term')}) AS DOUBLE) / greatest(5, length(term)) END, 6) AS match_score FROM (SELECT DISTINCT term FROM term_stats)")
 def fuzzy_match_score(spark, sf_dir):
-    return ascii_vocabulary(spark, sf_dir).select("term", F.round(terms.match_score(F.lit("thing"), F.col("term")), 6).alias("match_score"))
+    return vocabulary(spark, sf_dir).select("term", F.round(terms.match_score(F.lit("thing"), F.col("term")), 6).alias("match_score"))
 
 
 EXACT = "CASE WHEN lower(title) = 'the' THEN 5e0 WHEN contains(lower(title), 'the') THEN 2e0 ELSE 0e0 END + CASE WHEN contains(lower(url), 'the') THEN 1e0 ELSE 0e0 END + CASE WHEN contains(lower(source_site), 'the') THEN 5e-1 ELSE 0e0 END"
@@ -314,9 +321,9 @@ FULL = f"""WITH {bm25_sql(values(ASKED))}, met AS (
   SELECT c.*, s.bm25, {RECENCY} AS recency_boost, {SOURCE} AS source_boost, {EXACT.replace("'the'", repr(WORDS))} AS exact_boost, {PERSONAL} AS personal
   FROM corpus c JOIN scores s ON s.doc_id = c.doc_id JOIN met m ON m.doc_id = c.doc_id
   WHERE contains(source_site, 'src') AND publish_time >= '2024-02-01'
-), pre AS (SELECT *, round(bm25 + recency_boost + source_boost, 4) + exact_boost AS pre_score FROM boosted),
+), pre AS (SELECT *, {dec('bm25 + recency_boost + source_boost', 4)} + exact_boost AS pre_score FROM boosted),
 final AS (
-  SELECT *, round(pre_score + personal, 3) AS final_score,
+  SELECT *, {dec('pre_score + personal', 3)} AS final_score,
     CASE content_quality WHEN 'nav_noise' THEN greatest(0e0, pre_score - 5e0) WHEN 'failed' THEN greatest(0e0, pre_score * 3e-1) ELSE pre_score END AS score,
     CASE content_quality WHEN 'good' THEN 0 WHEN 'short' THEN 1 WHEN 'failed' THEN 2 WHEN 'nav_noise' THEN 3 ELSE 5 END AS quality_rank
   FROM pre
@@ -326,20 +333,18 @@ ORDER = "score DESC, quality_rank DESC, final_score DESC, pre_score DESC, doc_id
 
 def ranked_documents(spark, sf_dir):
     built = engine(spark, sf_dir)
-    found, _, _, _ = built.ranked(WORDS, "multi", filters={"source": "src", "date_from": "2024-02-01"})
-    base = found.drop("recency_boost", "source_boost", "exact_boost", "bm25_score", "pre_score", "personalization_score", "final_score", "score", "quality_rank")
-    return ranking.scored(base, built.as_of, WORDS, "default", BOOSTS, KEYWORDS, SITES)
+    return built.ranked(WORDS, "multi", filters={"source": "src", "date_from": "2024-02-01"}, source_boosts=BOOSTS, keywords=KEYWORDS, sources=SITES)[0]
 
 
-@query(f"{FULL} SELECT doc_id, round(score, 4) AS score, final_score, round(bm25, 4) AS bm25_score, exact_boost FROM final ORDER BY {ORDER} LIMIT 20")
+@query(f"{FULL} SELECT doc_id, {dec('score', 4)} AS score, final_score, {dec('bm25', 4)} AS bm25_score, exact_boost FROM final ORDER BY {ORDER} LIMIT 20")
 def search_full_pipeline(spark, sf_dir):
     rows = ranking.page_of(ranked_documents(spark, sf_dir), ranking.final_order(), 1, 20)
-    return rows.select("doc_id", F.round("score", 4).alias("score"), "final_score", "bm25_score", "exact_boost")
+    return rows.select("doc_id", ranking.rounded(F.col("score"), 4).alias("score"), "final_score", "bm25_score", "exact_boost")
 
 
-@query(f"{FULL} SELECT doc_id, round(score, 4) AS score, quality_rank FROM final")
+@query(f"{FULL} SELECT doc_id, {dec('score', 4)} AS score, quality_rank FROM final")
 def quality_penalty_order(spark, sf_dir):
-    return ranked_documents(spark, sf_dir).select("doc_id", F.round("score", 4).alias("score"), "quality_rank")
+    return ranked_documents(spark, sf_dir).select("doc_id", ranking.rounded(F.col("score"), 4).alias("score"), "quality_rank")
 
 
 @query(f"{FULL} SELECT doc_id FROM final ORDER BY {ORDER} LIMIT 10 OFFSET 10")
@@ -354,12 +359,12 @@ def filter_source_type_date(spark, sf_dir):
 
 @query(f"WITH {CORPUS} SELECT DISTINCT source_site FROM corpus WHERE source_site <> ''")
 def facet_sources(spark, sf_dir):
-    return corpus(spark, sf_dir).where("source_site <> ''").select("source_site").distinct()
+    return engine(spark, sf_dir).sources()
 
 
-@query(f"WITH {CORPUS} SELECT DISTINCT file_type FROM corpus")
+@query(f"WITH {CORPUS} SELECT DISTINCT file_type FROM corpus WHERE file_type <> ''")
 def facet_file_types(spark, sf_dir):
-    return corpus(spark, sf_dir).select("file_type").distinct()
+    return engine(spark, sf_dir).file_types()
 
 
 # --- presentation

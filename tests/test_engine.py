@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import text, urls
-from siftwell.functions.segment import pairs, segments
+from siftwell.functions.segment import segmented_tokens
 from siftwell.operators import frontier, index, logs, quality, ranking, suggest, terms
 from siftwell.plans.search import SearchEngine, match_mode_for
 
@@ -19,9 +19,10 @@ POSTINGS = [
 
 @pytest.fixture(scope="module")
 def mock(spark):
-    postings = spark.createDataFrame(POSTINGS, "field string, term string, doc_id string, tf int")
-    lengths = spark.createDataFrame([("doc1", 5, 100), ("doc2", 8, 200), ("doc3", 3, 50)], "doc_id string, title_len int, content_len int")
-    return postings, index.term_statistics(postings), lengths, index.statistics_of(lengths)
+    sizes = {"doc1": (5, 100), "doc2": (8, 200), "doc3": (3, 50)}
+    postings = spark.createDataFrame([(f, t, d, n, sizes[d][f == "content"]) for f, t, d, n in POSTINGS], "field string, term string, doc_id string, tf int, size int")
+    lengths = spark.createDataFrame([(d, *n) for d, n in sizes.items()], "doc_id string, title_len int, content_len int")
+    return postings, index.term_statistics(postings), index.statistics_of(lengths)
 
 
 def scores(spark, mock, words, weights=None):
@@ -49,6 +50,44 @@ def test_bm25_weights_and_repeats(spark, mock):
     assert all(twice[d] == pytest.approx(2 * once[d], abs=2e-6) for d in once)
 
 
+def test_fixture_searched_end_to_end(spark, mock):
+    """Scores, order and matched terms of whole searches over the given postings, with the given words as tokens."""
+    postings, stats, corpus = mock
+    found = spark.createDataFrame([(d, f"{d}的标题", "正文") for d in ("doc1", "doc2", "doc3")], "doc_id string, title string, content string")
+    lengths = postings.select("doc_id").distinct().selectExpr("doc_id", "0 AS title_len", "0 AS content_len")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    built = SearchEngine(index.Index(index.with_defaults(found), postings, stats, lengths, corpus), analyze=words)
+    got = built.search("南开 大学 计算机", "exact")
+    assert [(r["doc_id"], r["bm25_score"]) for r in got["results"].collect()] == [("doc2", 7.2702), ("doc1", 3.5278), ("doc3", 0.9635)]
+    assert built.search("南开 计算机", "normal")["total"] == 2  # a space means all words: doc3 has one of them
+    assert [r["doc_id"] for r in built.search("大学", "normal")["results"].collect()] == ["doc3", "doc1", "doc2"]
+    wild = built.search("计算*", "wildcard")
+    assert wild["matched_terms"] == ["计算机"] and [r["doc_id"] for r in wild["results"].collect()] == ["doc2", "doc1"]
+    for words_, kind in (("不存在词", "normal"), ("xyz*", "wildcard"), ("", "normal")):
+        none = built.search(words_, kind)
+        assert (none["total"], none["total_pages"], none["results"].count(), none["user_profile_name"]) == (0, 0, 0, "默认用户")
+
+
+def test_chinese_text(spark):
+    """Han characters become pairs, other words stay; a search for a part of a title finds it."""
+    docs = spark.createDataFrame([("a", "南开大学计算机学院2024年招生简章", "AI技术 and 机器学习"), ("b", "图书馆开放时间", "周一至周五")], "doc_id string, title string, content string")
+    built = index.build(docs, analyze=index.analyzer(segmented=False))
+    rows = {r["doc_id"]: r for r in index.analyzed(docs, index.analyzer(segmented=False)).collect()}
+    assert rows["a"]["title_tokens"][:4] == ["南开", "开大", "大学", "学计"] and rows["a"]["content_tokens"] == ["ai", "技术", "and", "机器", "器学", "学习"]
+    search = SearchEngine(built, analyze=index.analyzer(segmented=False))
+    assert [r["doc_id"] for r in search.search("计算机")["results"].collect()] == ["a"]
+    assert [r["doc_id"] for r in search.search("图书馆")["results"].collect()] == ["b"]
+
+
+def test_segmenter(spark, tmp_path):
+    """Where there is a segmenter, texts with Han characters go through it and others don't."""
+    (tmp_path / "cutter_of_tests.py").write_text("def lcut(t):\n    return ['南开', ' ', 'ABC', '12', '大学']\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "cutter_of_tests.py"))
+    rows = spark.createDataFrame([("南开ABC",), ("plain Words 12",), (None,)], "t string")
+    found = rows.select(segmented_tokens(F.col("t"), ("大学", "plain"), "cutter_of_tests").alias("x")).collect()
+    assert [r["x"] for r in found] == [["南开", "abc"], ["words"], []]
+
+
 WILD = "南开大学 南开大学计算机学院 南开大学人工智能学院 南开大学教务部 奖学金申请 奖学金评定 奖助学金 2024年 2025年 2026年 温度计 温馨提醒 温和 研究生招生 本科生教学 人工智能 机器学习".split()
 
 
@@ -170,8 +209,6 @@ def test_text_functions(spark):
     assert one(text.summary(F.lit("a  b\n" + "c" * 300))).endswith("...")
     assert one(text.document_id(F.lit(7), F.lit("pdf"))) == "nk_file_000007"
     assert one(text.clean_crawled(F.lit("a&nbsp;b\x01  c"))) == "a b c"
-    assert pairs("南开大学 abc 1") == ["南开", "开大", "大学", "abc", "1"]
-    assert one(segments(F.lit("大学 ABC 1"))) == ["大学", "abc"]
 
 
 @pytest.mark.parametrize(
