@@ -11,20 +11,23 @@ from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siftwell.functions.urls import DETAIL_MARKS, FILE_TYPES, LIST_PATTERNS
+from siftwell.functions.urls import DETAIL_PATHS, DETAIL_PATTERNS, FILE_TYPES, LINK_RULES, LIST_PATTERNS
 
 #: Where titles stand, in classes and ids.
 TITLE_PLACES = (
-    ".article-title .news-title .content-title .arti_title .Article_Title .main-title .con_title .wp_articleTitle .wp_article_title .v_news_title .title .tit "
-    "#title #ArticleTitle #vsb_title .bt .wzbt .newstitle .infotitle .artTitle .newsTitle .detail-title"
-).split()
+    ".article-title", ".news-title", ".content-title", ".arti_title", ".Article_Title", ".main-title", ".con_title", ".wp_articleTitle",
+    ".wp_article_title", ".v_news_title", ".title", ".tit", "#title", "#ArticleTitle", "#vsb_title", ".bt",
+    ".wzbt", ".newstitle", ".infotitle", ".artTitle", ".newsTitle", ".detail-title",
+)
 #: Where texts stand.
 TEXT_PLACES = (
-    "#vsb_content .v_news_content .v_news_content_2 .wp_articlecontent .wp_articleContent .article--content .article-content .news-content .content "
-    ".main-content .con article main .TRS_Editor .TRS_PreAppend .zoom .newscontent .nr .detail-content .post-content .entry-content .post-body "
-    ".column-news-con .wp-column-news .list-content .article .artCon .main-content"
-).split()
+    "#vsb_content", ".v_news_content", ".v_news_content_2", ".wp_articlecontent", ".wp_articleContent", ".article--content", ".article-content", ".news-content",
+    ".content", ".main-content", ".con", "article", "main", ".TRS_Editor", ".TRS_PreAppend", ".zoom",
+    ".newscontent", ".nr", ".detail-content", ".post-content", ".entry-content", ".post-body", ".column-news-con", ".wp-column-news",
+    ".list-content", ".article", ".artCon", ".main-content",
+)
 #: Elements that never hold text, and words in classes and ids that speak for navigation.
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe", "select", "option", "button"}
 NOISE_CLASSES = ("nav", "menu", "header", "footer", "sidebar", "breadcrumb", "copyright", "search", "login", "banner", "toolbar", "sitemap", "link", "toplink", "top_link", "topnav")
@@ -42,12 +45,15 @@ BARS = (
     "学院首页 师资队伍 学科建设 科学研究 本科教学 研究生培养 党建工作 学生工作 招生就业",
 )
 #: Names of columns, which head list pages.
-COLUMNS = frozenset(
-    "最新动态 学院公告 学生之窗 科研信息 本科生教学 研究生教学 研究生招生 党团园地 就业信息 国际交流 境外交流 学生工作通知 南开新闻 南开要闻 综合新闻 媒体南开 "
-    "硕士招生 博士招生 院系机构 人才师资 教育教学 科学研究 学校简介 光影南开 视频 广播 南开故事 南开大学报 新闻中心 通知公告 学术活动 校园生活".split()
-)
+COLUMNS = (
+    "最新动态", "学院公告", "学生之窗", "科研信息", "本科生教学", "研究生教学", "研究生招生", "党团园地", "就业信息", "国际交流",
+    "境外交流", "学生工作通知", "南开新闻", "南开要闻", "综合新闻", "媒体南开", "硕士招生", "博士招生", "院系机构", "人才师资",
+    "教育教学", "科学研究", "学校简介", "光影南开", "视频", "广播", "南开故事", "南开大学报", "新闻中心", "通知公告",
+    "学术活动", "校园生活",
+)
 #: Titles that say nothing.
 GENERIC = {"南开大学", "计算机学院", "人工智能学院", "新闻网", "教务部", "研究生招生网", "首页", "主页", "欢迎", "Welcome", "Index", "index"}
+#: Names of dates in meta elements, words of links to the next pages, and of links to files.
 DATE_METAS = ("pubdate", "publishdate", "dc.date", "citation_date", "date", "article:published_time", "release_date", "PubDate", "publish_date")
 NEXT_WORDS = ("下一页", "下页", "尾页", "末页", "next", "»", "›")
 ATTACHMENT_WORDS = (
@@ -323,30 +329,16 @@ def list_url(url: str) -> bool:
 
 
 def detail_url(lower: str) -> bool:
-    return (
-        any(m in lower for m in ("/info/", "/content/", "/article/"))
-        or "/system/" in lower and lower.endswith(".shtml")
-        or bool(re.search(r"/c\d+a\d+/page\.htm|[?&]p=\d+", lower))
-        or lower.endswith(".htm") and "/list" not in lower and bool(re.search(r"/\d{4}/\d{2,4}/", lower))
-    )
+    return any(re.search(p, lower) for p in DETAIL_PATTERNS)
 
 
 def detail_link(url: str) -> bool:
-    lower = url.lower()
+    """As urls.is_detail_link(), from the same tables."""
     if list_url(url):
         return False
-    if re.search(r"/\d{4}/\d{2,4}/c\d+a\d+/page\.htm|[?&]p=\d+|[?&]page_id=\d+", lower):
-        return True
-    if re.search(r"[?&]cat=\d+", lower):
-        return False
-    if any(f"/{m}/" in lower for m in DETAIL_MARKS):
-        return True
-    segments = [s for s in urlparse(url).path.split("/") if s]
-    if len(segments) < 2:
-        return False
-    last = segments[-1].lower()
-    page = last.endswith((".htm", ".html", ".shtml")) and not last.startswith(("index", "list"))
-    return bool(re.search(r"\d{4}", last)) or page or bool(re.fullmatch(r"\d{4}", segments[0]))
+    lower = url.lower()
+    folders = "/" + "/".join(s for s in urlparse(url).path.lower().split("/") if s)
+    return next((verdict for pattern, verdict in LINK_RULES if re.search(pattern, lower)), any(re.search(p, folders) for p in DETAIL_PATHS))
 
 
 def parse_date(text: str) -> str:
@@ -354,24 +346,50 @@ def parse_date(text: str) -> str:
     return "{}-{:0>2}-{:0>2}".format(*m.groups()) if m else text.strip()
 
 
+def cleaned(text: str) -> str:
+    """As text.clean_crawled()."""
+    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\s+", " ", re.sub("&[a-z]+;", " ", text))).strip()
+
+
 PARSED = (
     "page_id long, url string, title string, content string, content_quality string, page_role string, publish_time string, "
-    "links array<struct<url:string,anchor_text:string,is_detail:boolean>>, pagination array<string>, attachments array<string>"
+    "links array<struct<url:string,anchor_text:string,is_detail:boolean>>, pagination array<string>, attachments array<struct<url:string,anchor_text:string>>"
 )
+#: What leads to a page and may name it: the link's text, the site and its category.
+CONTEXT = ("anchor_text", "source_site", "category")
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages: page_id, url, html. One row per page; null HTML counts as empty. The text is taken before links, date and
-    role, which therefore don't see navigation."""
+    """pages: page_id, url, html, and maybe the columns of CONTEXT, which titles fall back on. One row per page; null HTML
+    counts as empty. The text is taken before links, date and role, which therefore don't see navigation; it is cleaned."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for page_id, url, html in frame.itertuples(index=False):
-                page = Page(html or "", url or "")
-                title, content = page.title(), page.content()
+            for page_id, url, html, *context in frame.itertuples(index=False):
+                page = Page(html or "", url or "", *(c or "" for c in context))
+                title, content = page.title(), cleaned(page.content())
                 role = page.role()
-                rows.append((page_id, url, title, content, content_quality(content, role), role, page.publish_time(), page.links(), page.pagination(), [*page.attachments()]))
+                files = [{"url": u, "anchor_text": t} for u, t in page.attachments().items()]
+                rows.append((page_id, url, title, content, content_quality(content, role), role, page.publish_time(), page.links(), page.pagination(), files))
             yield pd.DataFrame(rows, columns=["page_id", "url", "title", "content", "content_quality", "page_role", "publish_time", "links", "pagination", "attachments"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, PARSED)
+    context = [F.col(c) if c in pages.columns else F.lit("").alias(c) for c in CONTEXT]
+    return pages.select("page_id", "url", "html", *context).mapInPandas(run, PARSED)
+
+
+def parts_of_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, html: the parts that titles and links come from, as they stand in the whole page: title_tag,
+    meta_title, placed_title, h1, h2, url_title, links."""
+    names = ("title_tag", "meta_title", "placed_title", "h1", "h2", "url_title", "links")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, url, html in frame.itertuples(index=False):
+                page = Page(html or "", url or "")
+                rows.append((page_id, page.title_tag(), page.meta_title(), page.placed_title(), page.heading("h1", 2), page.heading("h2", 3, 3), page.url_title(), page.links()))
+            yield pd.DataFrame(rows, columns=["page_id", *names])
+
+    schema = "page_id long, " + ", ".join(f"{n} string" for n in names[:-1]) + ", links array<struct<url:string,anchor_text:string,is_detail:boolean>>"
+    return pages.select("page_id", "url", "html").mapInPandas(run, schema)

@@ -13,8 +13,16 @@ FILE_TYPES = (("pdf", "pdf"), ("docx", "docx"), ("doc", "doc"), ("xlsx", "xlsx")
 PRIORITY = {"document": 0, "detail": 1, "list": 2, "portal": 3}
 #: Patterns of list pages.
 LIST_PATTERNS = (r"/list\d*\.htm", r"/index[._]\d+\.(?:htm|shtml)", r"/page[._]\d+\.(?:htm|shtml)", r"/xwzx/[^/]+/\d+\.htm", r"/[^/]+/\d+\.htm", r"/index\.shtml")
-#: Marks of a page with one article.
-DETAIL_MARKS = ("content", "detail", "info", "article", "read", "view", "page", "show", "display")
+#: Patterns of pages with one article, in lower-case URLs.
+DETAIL_PATTERNS = (r"/info/", r"/content/", r"/article/", r"/system/.*\.shtml$", r"/c\d+a\d+/page\.htm", r"[?&]p=\d+", r"^(?!.*/list).*/\d{4}/\d{2,4}/.*\.htm$")
+#: Whether a link leads to such a page, by the first pattern that is in the lower-case URL; lists come before.
+LINK_RULES = (
+    (r"/\d{4}/\d{2,4}/c\d+a\d+/page\.htm|[?&]p=\d+|[?&]page_id=\d+", True),
+    (r"[?&]cat=\d+", False),
+    (r"/(content|detail|info|article|read|view|page|show|display)/", True),
+)
+#: Paths of two parts or more, without doubled slashes, that speak for such a page if no rule decides.
+DETAIL_PATHS = (r"^/.+/[^/]*\d{4}[^/]*$", r"^/.+/(?!index|list)[^/]*\.(htm|html|shtml)$", r"^/\d{4}/.")
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
@@ -98,18 +106,7 @@ def is_list_url(url: Column) -> Column:
 
 
 def is_detail_url(url: Column) -> Column:
-    lower = F.lower(url)
-    return any_of(
-        [
-            lower.contains("/info/"),
-            lower.contains("/system/") & lower.endswith(".shtml"),
-            lower.contains("/content/"),
-            lower.contains("/article/"),
-            lower.rlike(r"/c\d+a\d+/page\.htm"),
-            lower.endswith(".htm") & ~lower.contains("/list") & lower.rlike(r"/\d{4}/\d{2,4}/"),
-            lower.rlike(r"[?&]p=\d+"),
-        ]
-    )
+    return any_of(F.lower(url).rlike(p) for p in DETAIL_PATTERNS)
 
 
 def is_portal_url(url: Column) -> Column:
@@ -132,18 +129,11 @@ def role_by_url(url: Column) -> Column:
 
 def is_detail_link(url: Column) -> Column:
     lower = F.lower(url)
-    segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
-    last = F.lower(F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")))
-    by_path = (F.size(segments) >= 2) & (
-        last.rlike(r"\d{4}") | (last.rlike(r"\.(htm|html|shtml)$") & ~last.rlike("^(index|list)")) | F.coalesce(F.get(segments, F.lit(0)).rlike(r"^\d{4}$"), F.lit(False))
-    )
-    return (
-        F.when(any_of(url.rlike("(?i)" + p) for p in LIST_PATTERNS), False)
-        .when(lower.rlike(r"/\d{4}/\d{2,4}/c\d+a\d+/page\.htm|[?&]p=\d+|[?&]page_id=\d+"), True)
-        .when(lower.rlike(r"[?&]cat=\d+"), False)
-        .when(any_of(lower.contains(f"/{m}/") for m in DETAIL_MARKS), True)
-        .otherwise(by_path)
-    )
+    folders = F.concat(F.lit("/"), F.array_join(F.filter(F.split(F.lower(path(url)), "/"), lambda s: s != ""), "/"))
+    out = any_of(folders.rlike(p) for p in DETAIL_PATHS)
+    for pattern, verdict in reversed(LINK_RULES):
+        out = F.when(lower.rlike(pattern), verdict).otherwise(out)
+    return F.when(any_of(url.rlike("(?i)" + p) for p in LIST_PATTERNS), False).otherwise(out)
 
 
 def site_name(url: Column, sources: Iterable[tuple[str, str]], unknown: str = "未知站点") -> Column:

@@ -40,9 +40,10 @@ def source_order(rows: DataFrame) -> DataFrame:
     return first.select("source_site", F.row_number().over(Window.orderBy("first_seq", "source_site")).alias("source_ordinal"))
 
 
-#: Orders are counted in stretches of so many arrivals or turns, so that a source with most of the queue is dealt out.
+#: Orders are counted in stretches of about so many URLs, so that a source with most of the queue is dealt out.
 STRETCH = 100_000
-TURNS = 1000
+#: With more active sources than this each has a quota.
+QUOTA_FROM = 3
 
 
 def numbered(rows: DataFrame, name: str, stretches: list[Column], order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -58,14 +59,37 @@ def numbered(rows: DataFrame, name: str, stretches: list[Column], order: list[st
     return placed.withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before", *marks)
 
 
-def round_robin(rows: DataFrame, depleted: DataFrame | None = None) -> DataFrame:
-    """Adds source_ordinal, turn, and position of the balanced schedule: one of each source in turn, by priority and arrival within it."""
+def quota_left(sources: DataFrame, crawled: DataFrame | None, total: int | None, ratio: float) -> DataFrame:
+    """sources: source_site, source_ordinal of those that have URLs. Adds turns_left, how many more each may get before
+    the others, null without a limit: one is set where more than three sources are active. crawled: source_site, crawled."""
+    if crawled is None or not total or ratio <= 0:
+        return sources.withColumn("turns_left", F.lit(None).cast("long"))
+    active = F.count("*").over(Window.partitionBy())  # a row per source
+    limit = F.greatest(F.lit(int(total * ratio)).cast("long"), F.lit(1).cast("long"), F.floor(F.lit(total) / active).cast("long"))
+    rows = sources.withColumn("limit", F.when(active > QUOTA_FROM, limit)).join(crawled.groupBy("source_site").agg(F.sum("crawled").alias("crawled")), "source_site", "left")
+    left = F.greatest(F.lit(0).cast("long"), F.col("limit") - F.coalesce("crawled", F.lit(0)))
+    return rows.withColumn("turns_left", F.when(F.col("limit").isNotNull(), left)).drop("limit", "crawled")
+
+
+def round_robin(rows: DataFrame, depleted: DataFrame | None = None, crawled: DataFrame | None = None, total: int | None = None, ratio: float = 0.3) -> DataFrame:
+    """Adds source_ordinal, turn, turns_left, and position of the balanced schedule: one of each source in turn, by
+    priority and arrival within it. What is beyond a source's quota comes behind everything else, source by source.
+    Sources that are depleted don't take part. The quota is that of the moment; a crawl asks again for every batch."""
     if depleted is not None:
         rows = rows.join(depleted.select("source_site"), "source_site", "left_anti")
     arrivals = F.floor(F.col("seq") / STRETCH)
     rows = numbered(rows, "turn", [F.col("priority"), arrivals], ["seq", "norm_url"], ["source_site"])
-    rows = rows.join(source_order(rows), "source_site")
-    return numbered(rows, "position", [F.floor(F.col("turn") / TURNS)], ["turn", "source_ordinal"])
+    sources = quota_left(source_order(rows), crawled, total, ratio)
+    sources = sources.withColumn("_sources", F.count("*").over(Window.partitionBy()))  # a row per source
+    rows = rows.join(sources, "source_site")
+    over = F.coalesce(F.col("turn") > F.col("turns_left"), F.lit(False))
+    major, minor = F.when(over, F.col("source_ordinal")).otherwise(F.col("turn")), F.when(over, F.col("turn")).otherwise(F.col("source_ordinal"))
+    rows = rows.select("*", over.alias("_over"), major.cast("long").alias("_major"), minor.cast("long").alias("_minor"))
+    # a stretch is some turns of all sources, or some of the sources of one turn, or some turns of one source
+    wide = F.col("_over") | (F.col("_sources") > STRETCH)
+    first = F.when(wide, F.col("_major")).otherwise(F.expr(f"_major DIV ({STRETCH} DIV _sources)"))
+    second = F.when(wide, F.expr(f"_minor DIV {STRETCH}")).otherwise(F.lit(0))
+    return numbered(rows.withColumns({"_first": first, "_second": second}), "position", [F.col("_over"), F.col("_first"), F.col("_second")], ["_major", "_minor"]).drop("_over", "_major", "_minor", "_first", "_second", "_sources")
 
 
 def by_priority(rows: DataFrame) -> DataFrame:
@@ -116,3 +140,14 @@ def snapshots(pages: DataFrame, cap: int = 50, order: str = "doc_id") -> DataFra
     """doc_id and html, with base address, of the first `cap` pages that are HTML or details."""
     chosen = pages.where("file_type = 'html' OR page_role = 'detail'").orderBy(order).limit(cap)
     return chosen.select("doc_id", urls.with_base_href(F.col("html"), F.col("url")).alias("html"))
+
+
+def seed_info(rows: DataFrame, seeds_of: DataFrame, sites: list[tuple[str, str]] = ()) -> DataFrame:
+    """rows: norm_url, url, source_site, category. A page's own source and category, else those of the seed with its URL;
+    a source still, else, by the sites' base URLs (base URL, name). seeds_of: as seeds() gives them."""
+    own = F.nullif(F.nullif(F.col("source_site"), F.lit("")), F.lit(UNKNOWN_SOURCE))
+    named = seeds_of.withColumn("norm_url", urls.normalize(F.col("url"))).groupBy("norm_url").agg(F.max_by(F.struct("source_site", "category"), "seq").alias("_seed"))
+    rows = rows.join(named, "norm_url", "left")
+    source = F.coalesce(own, F.nullif(F.col("_seed.source_site"), F.lit("")), urls.site_name(F.col("url"), sites))
+    category = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.col("_seed.category"), F.lit(""))
+    return rows.withColumns({"source_site": source, "category": category}).drop("_seed")

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import clean_crawled
 from siftwell.operators import quality
 from siftwell.schema import DOCUMENT, SEEDS
 
@@ -61,6 +62,8 @@ def load_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, ...] | N
 def write_report(docs: DataFrame, path: str) -> None:
     """The report's figures, distributions, breakdowns and samples, a folder each."""
     quality.verdicts(quality.validation(docs)).write.mode("overwrite").json(f"{path}/report")
+    docs.sparkSession.createDataFrame([(report_markdown(docs),)], "text string").coalesce(1).write.mode("overwrite").text(f"{path}/report_markdown")
+    quality.file_counts(docs).write.mode("overwrite").json(f"{path}/stats")
     quality.breakdown(docs).write.mode("overwrite").json(f"{path}/breakdown")
     spread = quality.distributions(docs)
     for d in ("source_site", "file_type", "page_role"):
@@ -109,19 +112,31 @@ def xlsx_text(data: bytes, most: int = 200) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    import fitz  # optional
+    """By the first reader, else by the second; both are optional."""
+    try:
+        import fitz
+
+        with fitz.open(stream=data, filetype="pdf") as pages:
+            return "\n".join(p.get_text() for p in pages)
+    except Exception:
+        import pdfplumber
 
-    with fitz.open(stream=data, filetype="pdf") as pages:
-        return "\n".join(p.get_text() for p in pages)
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            return "\n".join(t for t in (p.extract_text() for p in pdf.pages) if t)
 
 
-READERS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
+#: Old formats are tried with the readers of the new ones, which read those that are new under an old name.
+READERS = {"docx": docx_text, "doc": docx_text, "xlsx": xlsx_text, "xls": xlsx_text, "pdf": pdf_text}
+ARCHIVES = ("zip", "rar")
 
 
 def parse_file(kind: str, data: bytes) -> tuple[str, str, str]:
-    """Text, status (ok, failed, skipped), error. Kinds without a reader are skipped; a text that is empty has failed."""
+    """Text, status (ok, failed, skipped), error. Archives are skipped; a text that is empty has failed; kinds that have
+    no text to read are ok without one."""
+    if kind in ARCHIVES:
+        return "", "skipped", "archives aren't read"
     if kind not in READERS:
-        return "", "skipped", f"no reader for {kind}"
+        return "", "ok", ""
     try:
         text = READERS[kind](data)
     except Exception as error:  # whatever a broken file makes a reader raise is a result, not a failure of the job
@@ -133,20 +148,82 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Attachments under a path: path, file_type, content, parse_status, parse_error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    return parse_files(files.select("path", kind.alias("file_type"), "content"))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """files: path, file_type, content (bytes). path, file_type, content (text), parse_status, parse_error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             parsed = [parse_file(k, bytes(d)) for k, d in zip(f["file_type"], f["content"])]
             yield pd.DataFrame({"path": f["path"], "file_type": f["file_type"], "content": [p[0] for p in parsed], "parse_status": [p[1] for p in parsed], "parse_error": [p[2] for p in parsed]})
 
-    chosen = files.select("path", kind.alias("file_type"), "content")
-    return chosen.mapInPandas(run, "path string, file_type string, content string, parse_status string, parse_error string")
-
-
-def attachment_quality(docs: DataFrame) -> DataFrame:
-    """docs: title, parent_title, category, content, parse_status. Attachments without text get what is known of them
-    as content; good beyond 50 characters, else short; failed ones are short."""
-    bare = F.concat(F.col("title"), F.lit(" | 链接文本: "), F.coalesce("parent_title", F.lit("")), F.lit(" | 分类: "), F.coalesce("category", F.lit("")))
-    content = F.when(F.coalesce("content", F.lit("")) == "", bare).otherwise(F.col("content"))
-    good = (F.col("parse_status") == "ok") & (F.length(content) > 50)
-    return docs.withColumn("content_quality", F.when(good, "good").otherwise("short")).withColumn("content", content)
+    return files.select("path", "file_type", "content").mapInPandas(run, "path string, file_type string, content string, parse_status string, parse_error string")
+
+
+def attachment_documents(files: DataFrame) -> DataFrame:
+    """files: name, anchor_text, category, content, parse_status. Adds title (the link's text, else the name, without
+    extensions), content (of files without text what is known of them), content_length, content_quality (good beyond 50
+    characters, else short; failed ones are short) and summary."""
+    title = F.when(F.coalesce("anchor_text", F.lit("")) == "", F.col("name")).otherwise(F.col("anchor_text"))
+    for ext in (".pdf", ".docx", ".doc", ".xlsx", ".xls"):
+        title = F.replace(title, F.lit(ext), F.lit(""))
+    files = files.withColumn("title", F.trim(title))
+    known = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
+    bare = F.concat_ws(" | ", "title", known("链接文本: ", "anchor_text"), known("分类: ", "category"))
+    content = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", bare).otherwise(F.col("content"))
+    files = files.withColumn("content", content)
+    good = (F.col("parse_status") != "failed") & (F.length("content") > 50)
+    return files.withColumns(
+        {
+            "content_length": F.length("content"),
+            "content_quality": F.when(good, "good").otherwise("short"),
+            "summary": F.when(F.col("content") == "", F.col("name")).otherwise(clean_crawled(F.substring("content", 1, 200))),
+            "content": clean_crawled(F.col("content")),
+        }
+    )
+
+
+def read_snapshot(spark: SparkSession, path: str, doc_id: str) -> str | None:
+    """The saved page of a document, None if there is none."""
+    try:
+        row = spark.read.parquet(f"{path}/snapshots").where(F.col("doc_id") == doc_id).select("html").first()
+    except AnalysisException:
+        return None
+    return row["html"] if row else None
+
+
+def has_snapshot(spark: SparkSession, path: str, doc_id: str) -> bool:
+    return read_snapshot(spark, path, doc_id) is not None
+
+
+def report_markdown(docs: DataFrame) -> str:
+    """The quality report as text. Its tables have a row per source, role or kind of file."""
+    facts = quality.verdicts(quality.validation(docs)).first().asDict()
+    spread: dict[str, list] = {}
+    for r in quality.distributions(docs).orderBy(F.desc("n"), "value").collect():
+        spread.setdefault(r["dimension"], []).append(r)
+    parts: dict[str, list] = {}
+    for r in quality.breakdown(docs).orderBy(F.desc("n"), "value").collect():
+        parts.setdefault(r["kind"], []).append(r)
+    ratio = lambda n, r: f"{facts[n]} ({facts[r]}%)"
+    overview = (
+        ("总文档数", facts["total_docs"]), ("无标题数量", ratio("no_title_count", "no_title_ratio")), ("空正文数量", ratio("empty_content_count", "empty_content_ratio")),
+        ("短正文数量", ratio("short_content_count", "short_content_ratio")), ("平均正文长度", f"{facts['avg_content_length']} 字符"), ("重复 URL", facts["duplicate_urls"]),
+        ("重复 content_hash", facts["duplicate_content_hashes"]), ("疑似噪声文档", facts["suspected_noise_docs"]), ("最大 source_site", ratio("max_source_site", "max_source_site_pct")),
+        ("document 数量", ratio("document_count", "document_pct")), ("疑似 list 误判", f"{facts['list_misclassify_count']} 条"), ("nav_noise 样本", f"{facts['nav_noise_count']} 条"),
+    )
+    lines = ["# 数据质量报告", "", "## 概览", "", "| 指标 | 值 |", "|------|----|", *(f"| {a} | {b} |" for a, b in overview)]
+    if facts.get("warnings"):
+        lines += ["", "## WARNING", "", *(f"- **{w}**" for w in facts["warnings"])]
+    for title, dimension, share in (("page_role 分布", "page_role", True), ("来源分布", "source_site", True), ("file_type 分布", "file_type", False), ("content_quality 分布", "content_quality", True), ("parse_status 分布", "parse_status", True)):
+        rows = spread.get(dimension, [])
+        rows = rows if dimension == "source_site" else sorted(rows, key=lambda r: r["value"])
+        lines += ["", f"## {title}", "", *(f"- {r['value']}: {r['n']}" + (f" ({r['pct']}%)" if share else "") for r in rows)]
+    if parts.get("failed_by_source"):
+        lines += ["", "## content_quality failed 分析", "", f"总计 failed: {facts['failed_count']} ({facts['failed_pct']}%)", "", "### 按 source_site 分布", ""]
+        lines += [f"- {r['value']}: {r['n']} ({round(r['n'] * 100 / max(facts['failed_count'], 1), 1)}%)" for r in parts["failed_by_source"]]
+        lines += ["", "### 按 URL pattern 分布 (top 15)", "", *(f"- `{r['value']}`: {r['n']}" for r in parts.get("failed_by_pattern", []))]
+    lines += ["", "## 短正文按 page_role 分布", "", *(f"- {r['value']}: {r['n']}" for r in sorted(parts.get("short_by_role", []), key=lambda r: r["value"]))]
+    return "\n".join(lines) + "\n"

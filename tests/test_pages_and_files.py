@@ -84,8 +84,10 @@ def test_attachments(spark, tmp_path):
     rows = {r["path"][-6:]: r for r in tables.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.docx"]["content"] == "Hello you\nEnd" and rows["b.xlsx"]["content"] == "A 5"
     assert rows["c.docx"]["parse_status"] == "failed" and rows["/d.rar"]["parse_status"] == "skipped"
-    given = spark.createDataFrame([("t", "p", "c", "", "failed"), ("t", "p", "c", "x" * 60, "ok")], "title string, parent_title string, category string, content string, parse_status string")
-    assert [r["content_quality"] for r in tables.attachment_quality(given).collect()] == ["short", "good"]
+    given = spark.createDataFrame([("n.pdf", "", "", "", "failed"), ("n.doc", "plan.docx", "c", "x" * 60, "ok"), ("n.zip", "", "c", " ", "skipped")], "name string, anchor_text string, category string, content string, parse_status string")
+    rows = tables.attachment_documents(given).collect()
+    assert [(r["title"], r["content_quality"], r["content_length"]) for r in rows] == [("n", "short", 1), ("plan", "good", 60), ("n.zip", "short", 13)]
+    assert rows[2]["content"] == "n.zip | 分类: c"
 
 
 def test_snapshots(spark):
