@@ -159,4 +159,12 @@ def samples(docs: DataFrame, where: Column, limit: int, preview: int = 150) -> D
 
 
 def random_sample(docs: DataFrame, n: int = 20, seed: int = 42) -> DataFrame:
-    return docs.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(n)
+    """n documents, by the order of a hash of the seed and their ids."""
+    return docs.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id")).cast("binary")), "doc_id").limit(n)
+
+
+def service_statistics(docs: DataFrame, index, searches: DataFrame) -> DataFrame:
+    """One row of what a running service tells of itself: counts of files, index_docs, index_terms (of texts),
+    index_title_terms, search_count. index: an operators.index.Index."""
+    of_index = index.statistics().select(F.col("doc_count").alias("index_docs"), F.col("term_count").alias("index_terms"), F.col("title_term_count").alias("index_title_terms"))
+    return file_counts(docs).join(of_index).join(searches.agg(F.count("*").alias("search_count")))  # one row each

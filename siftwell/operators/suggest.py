@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import quoted
+
 COLUMNS = ("text", "type", "score", "ordinal")
 TITLE_CHARS, TITLE_SCORE, PHRASE_FACTOR = 30, 0.5, 0.7
 PHRASE_SIZES = range(2, 8)
@@ -37,21 +39,23 @@ def from_titles(docs: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return first.select("text", F.lit("title").alias("type"), F.lit(TITLE_SCORE).alias("score"), ordinal.alias("ordinal"))
 
 
-def phrases(title: Column, prefix: str) -> Column:
-    """All pieces of 2 to 7 characters that begin with the prefix, repeats included."""
-    sizes = [n for n in PHRASE_SIZES if n >= len(prefix)]
-    starts = F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1)))
-    hits = F.filter(starts, lambda i: F.substr(title, i, F.lit(len(prefix))) == prefix)
-
-    def of_size(n: int) -> Column:
-        return F.transform(F.filter(hits, lambda i: i + n - 1 <= F.length(title)), lambda i: F.substr(title, i, F.lit(n)))
-
-    return F.concat(*map(of_size, sizes)) if sizes else F.array().cast("array<string>")
+def phrases(titles: DataFrame, prefix: str) -> DataFrame:
+    """text and n of all pieces of 2 to 7 characters of the titles that begin with the prefix, overlaps included; a text may
+    come in several rows."""
+    longest, sizes = max(PHRASE_SIZES), [n for n in PHRASE_SIZES if n >= len(prefix)]
+    if not sizes:
+        return titles.select(F.col("title").alias("text"), F.lit(0).cast("long").alias("n")).limit(0)
+    # every place where the prefix stands, with what follows it
+    places = F.regexp_extract_all("title", F.lit(f"(?s)(?=({quoted(prefix)}.{{0,{longest - len(prefix)}}}))"), F.lit(1))
+    found = titles.where(F.col("title").contains(prefix)).select(F.explode(places).alias("place"))
+    counted = found.groupBy("place").agg(F.count("*").alias("n"))
+    pieces = F.filter(F.array(*(F.when(F.length("place") >= n, F.substring("place", 1, n)) for n in sizes)), lambda x: x.isNotNull())
+    return counted.select(F.explode(pieces).alias("text"), "n")
 
 
 def from_phrases(docs: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    found = docs.where(F.col("title").contains(prefix)).select(F.explode(phrases(F.col("title"), prefix)).alias("text"))
-    return top(found.groupBy("text").agg(F.count("*").alias("cnt")), [F.desc("cnt"), F.asc("text")], limit, PHRASE_FACTOR, "hot")
+    counts = phrases(docs.select("title"), prefix).groupBy("text").agg(F.sum("n").alias("cnt"))
+    return top(counts, [F.desc("cnt"), F.asc("text")], limit, PHRASE_FACTOR, "hot")
 
 
 def suggestions(docs: DataFrame, logs: DataFrame, prefix: str, limit: int = 10) -> DataFrame:

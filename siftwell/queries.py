@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import dom, text, urls
+from siftwell.functions import text, urls
 from siftwell.operators import frontier, index, logs, quality, ranking, suggest, terms
 from siftwell.plans.search import SearchEngine
 from siftwell.streaming import streams
@@ -430,19 +430,6 @@ def url_allowed_domain(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.allowed(F.col("url"), ("example.com", "example.net")).alias("allowed"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?i)<h1[^>]*>([^<]*)', 1) AS h1 FROM pages")
-def page_title(spark, sf_dir):
-    found = [F.regexp_extract("html", f"(?i)<{p}", 1) for p in ("title[^>]*>([^<]*)</title>", "h1[^>]*>([^<]*)")]
-    return read(spark, sf_dir, "pages").select("page_id", found[0].alias("title"), found[1].alias("h1"))
-
-
-@query(r"""WITH found AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM found WHERE NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|$)') GROUP BY ALL""")
-def page_links(spark, sf_dir):
-    hrefs = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    found = read(spark, sf_dir, "pages").select("page_id", F.explode(hrefs).alias("href"))
-    return found.where(~F.col("href").rlike("^(#|javascript:|mailto:|tel:|$)")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
-
-
 LIST = " OR ".join(f"regexp_matches(url, '{p}', 'i')" for p in urls.LIST_PATTERNS)
 DETAIL = r"contains(u, '/info/') OR (contains(u, '/system/') AND u LIKE '%.shtml') OR contains(u, '/content/') OR contains(u, '/article/') OR regexp_matches(u, '/c\d+a\d+/page\.htm') OR (u LIKE '%.htm' AND NOT contains(u, '/list') AND regexp_matches(u, '/\d{4}/\d{2,4}/')) OR regexp_matches(u, '[?&]p=\d+')"
 
@@ -458,11 +445,6 @@ def page_role_url_rules(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", urls.role_by_url(F.col("url")).alias("page_role"))
 
 
-@query()
-def page_content_dom(spark, sf_dir):
-    return dom.parse_pages(read(spark, sf_dir, "pages")).select("page_id", "title", "content", "content_quality", "page_role", "publish_time", F.size("links").alias("n_links"))
-
-
 @query(f"WITH {CORPUS} SELECT doc_id, content_hash FROM (SELECT *, min(doc_id) OVER (PARTITION BY content_hash) AS first_id FROM corpus WHERE file_type = 'html') WHERE doc_id = first_id UNION ALL SELECT doc_id, content_hash FROM corpus WHERE file_type <> 'html'")
 def content_hash_dedup(spark, sf_dir):
     return frontier.first_of_hash(corpus(spark, sf_dir)).select("doc_id", "content_hash")
@@ -557,12 +539,6 @@ def duplicate_counts(spark, sf_dir):
     return quality.duplicate_counts(corpus(spark, sf_dir))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'failed' WHEN length(text) < 50 THEN 'failed' WHEN length(text) < 100 THEN 'short' ELSE 'good' END AS content_quality FROM documents")
-def content_quality(spark, sf_dir):
-    n = F.length("text")
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(n < 50, "failed").when(n < 100, "short").otherwise("good").alias("content_quality"))
-
-
 @query(
     rf"""WITH {CORPUS}, p AS (
   SELECT 'failed_by_source' AS kind, source_site AS value FROM corpus WHERE content_quality = 'failed' UNION ALL SELECT 'failed_by_type', file_type FROM corpus WHERE content_quality = 'failed'
@@ -575,11 +551,6 @@ def failure_breakdown(spark, sf_dir):
     return quality.breakdown(corpus(spark, sf_dir))
 
 
-@query()
-def random_sample(spark, sf_dir):
-    return quality.random_sample(corpus(spark, sf_dir)).select("doc_id", "title")
-
-
 def search_log(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("query"), F.col("ts").alias("search_time"))
 
@@ -676,3 +647,6 @@ def stream_dedup(spark, sf_dir):
     where = folder(spark, "first")
     first = streams.first_seen(event_stream(spark, sf_dir), "user_id", "search_time", "400 days").select("user_id")
     return streams.run_to_table(first, f"{where}/out", f"{where}/state").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+from siftwell import queries_pages, queries_tables  # noqa: E402,F401  more of them
