@@ -8,17 +8,24 @@ So fingerprints that link share a bucket (agreeing segment, fuzzy key of the nex
 
 Buckets with more fingerprints than a bound are not paired. Their fingerprints are linked by the same idea applied to
 the whole fingerprint: two are within two bits if and only if some vector is within one bit of both. Such a vector's
-group has 65 members at most, whatever the data, and linking each to the smallest keeps all components."""
+group has 65 members at most, whatever the data, and linking each to the smallest keeps all components.
+
+Two bits of 64 stand for a cosine of 0.995. For a similarity of 0.8 (similar_groups() and drop_near_duplicates()) the
+fingerprints are wider: a text's distinct shingles vote on as many bits as TABLES pieces have. A piece has a segment whose
+fuzzy keys are taken as above, and a few bits that must agree; texts that share a key of any piece are compared by all
+their bits, which tell the cosine of their shingle sets. This finds nearly all pairs, not all: the errors are spread over
+many segments, and one with two errors at most, beside bits without any, is all that a pair needs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,22 +40,36 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
+#: For similar texts: words of a shingle, the least cosine of their sets, and that from which one stands for the other.
+SIMILAR_WORDS, SIMILARITY, SAME = 5, 0.8, 0.95
+#: Pieces of a wide fingerprint, bits of each for the Golay code, and bits that must agree.
+TABLES, CODED, EXACT = 24, 23, 12
+WIDE = -(-TABLES * (CODED + EXACT) // 64)
+#: Pieces are looked up in rounds, up to these; what is found to be the same as another text doesn't go on.
+ROUNDS = (1, 3, 7, 14, TABLES)
+#: Shingles whose bits are counted together.
+COUNTED = 4096
+
 LONG = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
+def shingle_hashes(text: bytes, shingle_words: int) -> list[int]:
+    """A hash for each shingle, repeats included; of all words together where they are too few; none without words."""
+    words = text.lower().split()  # bytes: only A-Z and the six ASCII blanks
+    line = b" ".join(words)
+    if len(words) <= shingle_words:
+        return [xxhash.xxh64_intdigest(line, SEED)] if words else []
+    digest = xxhash.xxh64_intdigest
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
+    begins = np.concatenate([[0], stops[:-1] + 1])[: len(words) - shingle_words + 1].tolist()
+    return [digest(line[a:b], SEED) for a, b in zip(begins, stops[shingle_words - 1 :].tolist())]
+
+
 def fingerprint_batch(batch_texts: list[bytes], shingle_words: int) -> np.ndarray:
     """One unsigned fingerprint for each text: bit set if it is set in over half of the shingles' hashes; 0 without words."""
     hashes, ends = [], []
-    digest = xxhash.xxh64_intdigest
     for text in batch_texts:
-        words = text.lower().split()  # bytes: only A-Z and the six ASCII blanks
-        line = b" ".join(words)
-        if len(words) <= shingle_words:
-            hashes += [digest(line, SEED)] if words else []
-        else:
-            stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
-            begins = np.concatenate([[0], stops[:-1] + 1])[: len(words) - shingle_words + 1].tolist()
-            hashes += [digest(line[a:b], SEED) for a, b in zip(begins, stops[shingle_words - 1 :].tolist())]
+        hashes += shingle_hashes(text, shingle_words)
         ends.append(len(hashes))
     flat, out = np.array(hashes, "<u8"), np.zeros(len(batch_texts), np.uint64)
     at = 0
@@ -75,6 +96,36 @@ def fingerprints(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return rows.mapInArrow(run, LONG(*names))
 
 
+def widened(h: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits for each hash: the finisher of splitmix64 on the hash and the word's number."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (word + 1) & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def wide_fingerprint(text: bytes, shingle_words: int) -> np.ndarray:
+    """WIDE signed longs: bits set in over half of the distinct shingles' widened hashes; zeros without words."""
+    h = np.unique(np.array(shingle_hashes(text, shingle_words), np.uint64))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for a in range(0, len(h), COUNTED):
+        part = np.stack([widened(h[a : a + COUNTED], k) for k in range(WIDE)], axis=1)
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
+
+
+def wide_fingerprints(rows: DataFrame, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
+    """rows: longs, and text in the last column. fp, an array of WIDE longs, instead of the text."""
+    names = [*rows.columns[:-1], "fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, len(names) - 1):
+            found = [wide_fingerprint(t, shingle_words) for t in texts(batch.column(len(names) - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names)
+
+    return rows.mapInArrow(run, T.StructType([*LONG(*names[:-1]).fields, T.StructField("fp", T.ArrayType(T.LongType()))]))
+
+
 @lru_cache(1)
 def decoder() -> np.ndarray:
     """For every 23-bit vector the index of the one codeword within three bits."""
@@ -171,6 +222,59 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def piece_keys(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """key, node: the fuzzy keys of the pieces from first on and before last. nodes: node, fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 512) for k in range(0, whole.num_rows, 512)):
+                node = batch.column(0).to_numpy(zero_copy_only=False)
+                bits = np.unpackbits(np.array(batch.column(1).to_pylist(), "<i8").view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little").astype(np.int64)
+                for t in range(first, last):
+                    own = bits[:, t * (CODED + EXACT) : (t + 1) * (CODED + EXACT)]
+                    fuzzy = np.sort(fuzzy_keys(own[:, :CODED] @ (1 << np.arange(CODED))), axis=1).astype(np.int64)
+                    new = np.ones(fuzzy.shape, bool)
+                    new[:, 1:] = fuzzy[:, 1:] != fuzzy[:, :-1]
+                    r, c = np.nonzero(new)
+                    key = (t << EXACT | own[:, CODED:] @ (1 << np.arange(EXACT)))[r] << 12 | fuzzy[r, c]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[r])], ["key", "node"])
+
+    return nodes.select("node", "fp").mapInArrow(run, LONG("key", "node"))
+
+
+def most_bits(cosine: float) -> int:
+    """How many bits of wide fingerprints differ, expectedly, between texts whose shingle sets have this cosine."""
+    return int(64 * WIDE * math.acos(cosine) / math.pi)
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges a, b between nodes (node, fp) that share a key and whose bits tell of the similarity.
+
+    In a bucket a node is compared with the first and with the one before it, so that a bucket gives two pairs for each
+    of its nodes however large it is. Nodes that are the same as an earlier one but for little (SAME) are left out of
+    the following rounds: large groups shrink to a few before most pieces are looked up."""
+    links, live = None, nodes.select("node", "fp")
+    for first, last in zip((0, *ROUNDS), ROUNDS):
+        ordered = Window.partitionBy("key").orderBy("node")
+        near = piece_keys(live, first, last).select("node", F.first("node").over(ordered).alias("least"), F.lag("node").over(ordered).alias("before")).where("before IS NOT NULL")
+        pairs = near.select("node", F.explode(F.array_distinct(F.array("least", "before"))).alias("other")).distinct()
+        pairs = pairs.join(live.select("node", "fp"), "node").join(live.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")), "other")
+        differ = F.aggregate(F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        found = cut(pairs.select("other", "node", differ.alias("differ")).where(F.col("differ") <= most_bits(similarity)))
+        own = found.select(F.col("other").alias("a"), F.col("node").alias("b"))
+        links = own if links is None else links.union(own)
+        if last < TABLES:
+            live = cut(live.join(found.where(F.col("differ") <= most_bits(SAME)).select("node").distinct(), "node", "left_anti"))
+    return links.distinct()
+
+
+def similar_roots(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """found: rows with a wide fp. fp, size (rows with it) and root (the node that names its component)."""
+    nodes = cut(found.groupBy("fp").agg(F.count("*").alias("size")).withColumn("of", F.monotonically_increasing_id()))
+    linked = components(similar_links(nodes.withColumnRenamed("of", "node"), similarity))
+    return cut(nodes.join(linked, nodes["of"] == linked["node"], "left").select("fp", "size", F.coalesce("root", "of").alias("root")))
+
+
 def rooted(found: DataFrame, pair_bound: int = PAIR_BOUND) -> DataFrame:
     """found: rows with fp. fp, size (rows with it) and root (the fingerprint that names its component)."""
     nodes = cut(found.groupBy("fp").agg(F.count("*").alias("size")))
@@ -187,29 +291,36 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, pair_bound:
     get the component's id but never give it. Repeated rows each come back. Columns other than doc_id and text play no
     part. An empty table gives no rows."""
     found = cut(fingerprints(ids_and_texts(docs), shingle_words))
-    named = with_least(found, F.col("doc_id"), pair_bound)
+    named = with_least(found, F.col("doc_id"), rooted(found, pair_bound))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def with_least(found: DataFrame, value: Column, pair_bound: int) -> DataFrame:
+def with_least(found: DataFrame, value: Column, roots: DataFrame) -> DataFrame:
     """found with least, the smallest of the values in a row's component. Fingerprints of many rows, and components of
     many fingerprints, are summed up where they lie."""
     total = found.count()
-    roots = rooted(found, pair_bound)
     of_print = found.groupBy("fp").agg(F.min(value).alias("value")).join(roots, "fp")
     of_root = of_print.groupBy("root").agg(F.min("value").alias("least"), F.count("*").alias("prints"))
     named = cut(join_sized(roots, of_root, ["root"], "inner", "prints", total).select("fp", "size", "least"))
     return join_sized(found, named, ["fp"], "inner", "size", total)
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, pair_bound: int = PAIR_BOUND) -> DataFrame:
-    """Of the rows of each component of linked fingerprints one, with all its columns: that with the smallest doc_id; of
-    several with this id any one.
+def similar_groups(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of docs: doc_id, component_id, of documents whose sets of shingles have a cosine of `similarity` or more,
+    as wide fingerprints tell it: it is met to within some hundredths, and a few links near the limit are not found.
+    Nulls, empty texts, repeats and empty tables as in near_groups()."""
+    found = cut(wide_fingerprints(ids_and_texts(docs), shingle_words))
+    return with_least(found, F.col("doc_id"), similar_roots(found, similarity)).select("doc_id", F.col("least").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of the rows of each component of similar documents one, with all its columns: that with the smallest doc_id; of
+    several with this id any one. See similar_groups().
 
     Rows are dropped, not ids. A row without an id stays if no row of its component has one. Null texts count as empty,
-    and empty texts are one component with what links to them. Columns may have any names. An empty table gives no rows."""
+    and texts without words are one component. Columns may have any names. An empty table gives no rows."""
     rows = keyed(docs)
-    found = cut(fingerprints(rows.select("file", "at", in_row("doc_id").alias("doc_id"), in_row("text").alias("text")), shingle_words))
+    found = cut(wide_fingerprints(rows.select("file", "at", in_row("doc_id").alias("doc_id"), in_row("text").alias("text")), shingle_words))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at")
-    gone = with_least(found, place, pair_bound).where("file <> least.file OR at <> least.at").select("file", "at")
+    gone = with_least(found, place, similar_roots(found, similarity)).where("file <> least.file OR at <> least.at").select("file", "at")
     return rows.join(gone, ["file", "at"], "left_anti").select("row.*")

@@ -185,3 +185,69 @@ def test_odd_rows10(odd, empty):
     assert [by_id[i]["component_id"] for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 4, 4]
     assert simhash.near_groups(empty).count() == 0
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
+
+
+def shingle_sets(text):
+    words = text.lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or {" ".join(words)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def near_copies(rng, groups, copies, changes):
+    """Texts of random words, each with copies in which some words are changed; which text each comes from."""
+    out = []
+    for g in range(groups):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(100, 300))]
+        out.append((g, " ".join(words)))
+        for _ in range(copies):
+            own = list(words)
+            for k in rng.choice(len(own), max(1, int(len(own) * changes)), replace=False):
+                own[k] = f"x{rng.integers(0, 5000)}"
+            out.append((g, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("groups, copies, changes", [(80, 2, 0.018), (2, 150, 0.012), (60, 1, 0.005)])
+def test_similar_texts_are_found(spark, groups, copies, changes):
+    """Of all pairs with a similarity of 0.8 or more nine in ten are linked, in small and in large groups; others never."""
+    texts = near_copies(np.random.default_rng(groups), groups, copies, changes)
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()}
+    sets = [shingle_sets(t) for _, t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a][0] == texts[b][0] and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(pairs) >= 20 and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(texts[k][0] == texts[c][0] for k, c in found.items())
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(rows).collect()}
+    assert kept == set(found.values())
+
+
+def test_wide_fingerprint():
+    """Bits are majorities over distinct shingles; their share that differs tells the cosine."""
+    text = b"one two three four five six seven one two three four five"
+    hashes = {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingle_sets(text.decode())}
+    bits = [sum(int(simhash.widened(np.array([h], np.uint64), k)[0]) >> b & 1 for h in hashes) * 2 > len(hashes) for k in range(simhash.WIDE) for b in range(64)]
+    found = np.unpackbits(simhash.wide_fingerprint(text, 5).view(np.uint8), bitorder="little")
+    assert found.tolist() == [int(b) for b in bits]
+    assert simhash.wide_fingerprint(b" \n", 5).tolist() == [0] * simhash.WIDE
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.0) == 32 * simhash.WIDE
+    assert simhash.wide_fingerprint(b"a b c d e f g" * 3000, 5).tolist() == simhash.wide_fingerprint(b"A  b c d e f g" * 3000, 5).tolist()
+
+
+def test_clean_documents_stay(spark, documents, texts):
+    """What goes has a text in its component that shares a good part of its shingles."""
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(documents).collect()}
+    sets = {i: shingle_sets(t or "") for i, t in texts.items()}
+    for i, c in found.items():
+        if i != c:
+            assert max(jaccard(sets[i], sets[j]) for j in found if found[j] == c and j != i) > 0.5
+
+
+def test_odd_rows_of_similar(odd, empty):
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(odd).collect()}
+    assert [found[i] for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 4, 4]
+    assert simhash.similar_groups(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == 5

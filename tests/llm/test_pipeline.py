@@ -18,7 +18,7 @@ def test_stages_one_by_one(spark, documents):
     docs = docs.where(docs["doc_id"].isin(sorted(good)))
     kept = {r["doc_id"] for r in exact_dedup.exact_groups(docs, True).where("kept").collect()}
     docs = docs.where(docs["doc_id"].isin(sorted(kept)))
-    near = {r["doc_id"] for r in simhash.near_groups(docs).where("doc_id = component_id").collect()}
+    near = {r["doc_id"] for r in simhash.similar_groups(docs).where("doc_id = component_id").collect()}
     assert near <= kept <= good
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == near
