@@ -48,6 +48,8 @@ def crawl(
     A batch that was broken off is run again from the state before it."""
     domains, sites = list(domains), list(sites)
     number = 0
+    if total is not None and seeds is None and spark.read.parquet(f"{path}/docs").count() >= total:
+        return spark.read.parquet(f"{path}/docs").drop("batch")
     if seeds is None:
         number = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0] + 1
         queue, visited, depleted = tables.load_checkpoint(spark, f"{path}/state/{number - 1}")

@@ -5,6 +5,7 @@ The tables have no titles, dates or file types; corpus() derives them from doc_i
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -614,13 +615,15 @@ def suggest_merged(spark, sf_dir):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's output and checkpoint, in the shared folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        import uuid
-
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=name)
+    """A new folder in the shared folder that the session names. Without one a temporary one is made, which is right for
+    one machine only, so anything but a local master is refused."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="siftwell-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, sf_dir):
