@@ -318,13 +318,13 @@ def snapshot_base_href(spark, sf_dir):
     return frontier.snapshots(pages)
 
 
-@query(rf"SELECT page_id AS doc_id, page_id < 40 AS there, CASE WHEN page_id < 40 THEN CAST(length(html) AS INTEGER) ELSE 0 END AS size FROM pages WHERE page_id % 20 = 0")
+@query("SELECT page_id AS doc_id, row_number() OVER (ORDER BY page_id) <= 50 AS has_snapshot, CASE WHEN row_number() OVER (ORDER BY page_id) <= 50 THEN length(html) ELSE 0 END AS size FROM pages")
 def snapshot_read(spark, sf_dir):
-    path = folder(spark, "snapshots")
-    read(spark, sf_dir, "pages").where("page_id < 40").select(F.col("page_id").alias("doc_id"), "html").write.parquet(f"{path}/snapshots")
-    asked = [r["page_id"] for r in read(spark, sf_dir, "pages").where("page_id % 20 = 0").select("page_id").collect()]
-    rows = [(k, tables.has_snapshot(spark, path, k), len(tables.read_snapshot(spark, path, k) or "")) for k in asked]
-    return spark.createDataFrame(rows, "doc_id long, there boolean, size int")
+    """Which pages have one, and the size of what was saved, without the base address that was put in."""
+    path, pages = folder(spark, "snapshots"), read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", "html", F.lit("html").alias("file_type"), F.lit("").alias("page_role"))
+    frontier.snapshots(pages).write.parquet(f"{path}/snapshots")
+    bare = F.regexp_replace("html", '\n<base href="[^"]*">', "")
+    return tables.snapshots_of(pages, path).select("doc_id", "has_snapshot", F.coalesce(F.length(bare), F.lit(0)).cast("long").alias("size"))
 
 
 @query(rf"WITH {CORPUS}, c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(content, '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM corpus) SELECT * FROM c")

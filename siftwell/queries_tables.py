@@ -31,14 +31,13 @@ def corpus_scan(spark, sf_dir):
     return tables.read_corpus(spark, path).select(*docs.columns)
 
 
-@query(f"WITH {CORPUS} SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM corpus WHERE doc_id % 2 = 1")
+@query(f"WITH {CORPUS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'new' AS title FROM corpus")
 def corpus_fresh(spark, sf_dir):
     """A fresh corpus replaces the old one; one that isn't there is empty."""
     path = folder(spark, "corpus")
-    docs = corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"))
-    for rest in (0, 1):
-        tables.write_corpus(docs.where(f"doc_id % 2 = {rest}"), path, fresh=True)
-    return tables.read_corpus(spark, path).select("doc_id").union(tables.read_corpus(spark, path + "-none").select("doc_id"))
+    for title in ("old", "new"):
+        tables.write_corpus(corpus(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(title).alias("title")), path, fresh=True)
+    return tables.read_corpus(spark, path).union(tables.read_corpus(spark, path + "-none")).select("doc_id", "title")
 
 
 @query(f"SELECT unnest([{', '.join(map(repr, STOP))}]) AS word")

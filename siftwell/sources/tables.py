@@ -185,13 +185,18 @@ def attachment_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def snapshots_of(docs: DataFrame, path: str) -> DataFrame:
+    """docs: doc_id. doc_id, has_snapshot, html (null without one)."""
+    try:
+        saved = docs.sparkSession.read.parquet(f"{path}/snapshots").select("doc_id", "html")
+    except AnalysisException:  # none yet
+        saved = docs.select("doc_id", F.lit("").alias("html")).limit(0)
+    return docs.select("doc_id").join(saved, "doc_id", "left").select("doc_id", F.col("html").isNotNull().alias("has_snapshot"), "html")
+
+
 def read_snapshot(spark: SparkSession, path: str, doc_id: str) -> str | None:
     """The saved page of a document, None if there is none."""
-    try:
-        row = spark.read.parquet(f"{path}/snapshots").where(F.col("doc_id") == doc_id).select("html").first()
-    except AnalysisException:
-        return None
-    return row["html"] if row else None
+    return snapshots_of(spark.createDataFrame([(doc_id,)], ["doc_id"]), path).first()["html"]
 
 
 def has_snapshot(spark: SparkSession, path: str, doc_id: str) -> bool:
