@@ -18,6 +18,8 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 #: A key is hot if it has more than this share's inverse of all rows: there are so many hot keys at most.
 HOT_KEYS = 1000
+#: Rows (of a few numbers each) that a table may have to be sent to all executors without looking at its keys.
+SENT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +114,10 @@ def in_row(name: str) -> Column:
 def join_sized(rows: DataFrame, table: DataFrame, on: list[str], how: str, size: str, total: int) -> DataFrame:
     """rows joined (inner, left or left_semi) with a table that has one row per key and, in the column `size`, how many
     of the `total` rows have the key. Hot keys, HOT_KEYS at most, are sent to all executors, and their rows stay where
-    they are; only keys of few rows are shuffled together."""
+    they are; only keys of few rows are shuffled together. A table of SENT_ROWS at most, which it is if there are no more
+    rows, is sent as a whole."""
+    if total <= SENT_ROWS:
+        return rows.join(F.broadcast(table), on, how)
     is_hot = F.col(size) > total / HOT_KEYS
     hot = F.broadcast(table.where(is_hot))  # HOT_KEYS rows at most
     cold = rows.join(F.broadcast(table.where(is_hot).select(*on)), on, "left_anti").join(table.where(~is_hot), on, how)

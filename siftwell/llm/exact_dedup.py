@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import cut, in_row, join_sized, keyed
 
-#: Texts are equal when they are identical after each run of these becomes one space.
-SPACES = r"[\x20\x09-\x0D]+"
+#: Texts are equal when they are identical after each run of [\x20\x09-\x0D] becomes one space: the runs that aren't one already.
+SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 PREFIX_CHARS = 256
 #: Bits of the bitmap of open lengths and prefixes: 512 KB, whatever the input.
 BITMAP_BITS = 1 << 22

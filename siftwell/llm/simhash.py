@@ -46,7 +46,7 @@ SIMILAR_WORDS, SIMILARITY, SAME = 5, 0.8, 0.95
 TABLES, CODED, EXACT = 24, 23, 12
 WIDE = -(-TABLES * (CODED + EXACT) // 64)
 #: Pieces are looked up in rounds, up to these; what is found to be the same as another text doesn't go on.
-ROUNDS = (1, 3, 7, 14, TABLES)
+ROUNDS = (2, 8, TABLES)
 #: Shingles whose bits are counted together.
 COUNTED = 4096
 

@@ -79,11 +79,12 @@ def test_keys_are_the_rows(spark, documents, tmp_path):
         assert {(r["file"], r["at"]): r["doc_id"] for r in again} == {(r["file"], r["at"]): r["doc_id"] for r in found.select("file", "at", "row.doc_id").collect()}
 
 
-@pytest.mark.parametrize("keys", [2, 1000])
-def test_join_by_size(spark, monkeypatch, keys):
+@pytest.mark.parametrize("keys, sent", [(2, 0), (1000, 0), (1000, 100)])
+def test_join_by_size(spark, monkeypatch, keys, sent):
     from siftwell.llm import common
 
     monkeypatch.setattr(common, "HOT_KEYS", keys)
+    monkeypatch.setattr(common, "SENT_ROWS", sent)
     rows = spark.range(100).selectExpr("id", "CASE WHEN id < 60 THEN 0 ELSE id % 7 END AS k")
     table = rows.groupBy("k").agg(F.count("*").alias("size"), F.max("id").alias("most")).where("k <> 3")
     for how in ("left", "inner", "left_semi"):
