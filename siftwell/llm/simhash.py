@@ -43,10 +43,10 @@ GENERATOR = 0b110001110101
 #: For similar texts: words of a shingle, the least cosine of their sets, and that from which one stands for the other.
 SIMILAR_WORDS, SIMILARITY, SAME = 5, 0.8, 0.95
 #: Pieces of a wide fingerprint, bits of each for the Golay code, and bits that must agree.
-TABLES, CODED, EXACT = 24, 23, 12
+TABLES, CODED, EXACT = 36, 23, 14
 WIDE = -(-TABLES * (CODED + EXACT) // 64)
 #: Pieces are looked up in rounds, up to these; what is found to be the same as another text doesn't go on.
-ROUNDS = (2, 8, TABLES)
+ROUNDS = (2, 10, TABLES)
 #: Shingles whose bits are counted together.
 COUNTED = 4096
 
