@@ -45,8 +45,9 @@ SIMILAR_WORDS, SIMILARITY, SAME = 5, 0.8, 0.95
 #: Pieces of a wide fingerprint, bits of each for the Golay code, and bits that must agree.
 TABLES, CODED, EXACT = 36, 23, 14
 WIDE = -(-TABLES * (CODED + EXACT) // 64)
-#: Pieces are looked up in rounds, up to these; what is found to be the same as another text doesn't go on.
-ROUNDS = (2, 10, TABLES)
+#: Pieces are looked up in rounds, up to these, each of some three times as many; what is found to be the same as another
+#: text doesn't go on.
+ROUNDS = (1, 4, 12, TABLES)
 #: Shingles whose bits are counted together.
 COUNTED = 4096
 
