@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell import schema
 from siftwell.functions import text
 from siftwell.operators import frontier, index, logs, quality, ranking, suggest
-from siftwell.queries import ASKED, CORPUS, FULL, INDEX, MARK, NOISE, ORDER, QUEUE, RECENCY, STOP, TYPES, WORDS, bm25_sql, corpus, dec, engine, folder, page_queue, pick_sql, query, read, reason, search_log, tok, values
+from siftwell.queries import ASKED, CORPUS, FULL, INDEX, MARK, ORDER, QUEUE, STOP, WORDS, bm25_sql, corpus, dec, engine, folder, page_queue, pick_sql, query, read, reason, search_log, tok, values
 from siftwell.sources import tables
 
 # --- corpus files
