@@ -258,7 +258,8 @@ def similar_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     for first, last in zip((0, *ROUNDS), ROUNDS):
         ordered = Window.partitionBy("key").orderBy("node")
         near = piece_keys(live, first, last).select("node", F.first("node").over(ordered).alias("least"), F.lag("node").over(ordered).alias("before")).where("before IS NOT NULL")
-        pairs = near.select("node", F.explode(F.array_distinct(F.array("least", "before"))).alias("other")).distinct()
+        others = F.array_union(F.collect_set("least"), F.collect_set("before"))  # two for each of a node's keys at most
+        pairs = near.groupBy("node").agg(others.alias("others")).select("node", F.explode("others").alias("other"))
         pairs = pairs.join(live.select("node", "fp"), "node").join(live.select(F.col("node").alias("other"), F.col("fp").alias("other_fp")), "other")
         differ = F.aggregate(F.zip_with("fp", "other_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         found = cut(pairs.select("other", "node", differ.alias("differ")).where(F.col("differ") <= most_bits(similarity)))
