@@ -41,13 +41,13 @@ class Refined:
     total: int
 
 
-def slot_of_key() -> Column:
-    return F.pmod(F.xxhash64("n", "prefix"), F.lit(BITMAP_BITS)) + 1
+def slot_of_key(on: tuple[str, str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS)) + 1
 
 
-def maybe_open(rows: DataFrame, open_keys: DataFrame) -> DataFrame:
+def maybe_open(rows: DataFrame, open_keys: DataFrame, on: tuple[str, str] = ("n", "prefix")) -> DataFrame:
     """The rows whose slot in the bitmap is set: all that are open, and maybe others."""
-    slot = slot_of_key()
+    slot = slot_of_key(on)
     bits = open_keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     bit = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

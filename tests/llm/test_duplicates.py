@@ -252,3 +252,52 @@ def test_odd_rows_of_similar(odd, empty):
     assert simhash.similar_groups(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == 5
+
+
+def plain_similar(texts, similarity=0.8):
+    """doc_id: smallest doc_id reachable over links, which are all pairs whose shingle sets have this cosine; and the links."""
+    sets = {i: shingle_sets(t) for i, t in texts.items()}
+    root, links = {i: i for i in sets}, []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(sets[i] & sets[j]) >= similarity * (len(sets[i]) * len(sets[j])) ** 0.5 - 1e-6:
+                links.append((i, j))
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}, links
+
+
+@pytest.mark.parametrize("groups, copies, changes, held", [(120, 2, 0.03, 1 << 20), (1, 120, 0.022, 2000), (30, 3, 0.04, 500)])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, groups, copies, changes, held):
+    """Near the limit too, in small and large groups, beside a common passage, with short texts and texts of other lengths."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "GROUPED", held)
+    monkeypatch.setattr(simhash, "BLOCK", max(16, held >> 12))
+    rng = np.random.default_rng(groups)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [t if g % 3 else f"{t} {passage}" for g, t in near_copies(rng, groups, copies, changes)]
+    texts += [" ".join(t.split()[: int(n)]) for t, n in zip(texts[:60], rng.integers(60, 300, 60))]  # beginnings
+    texts += [" ".join(f"s{x}" for x in range(a, a + n)) for a in (0, 50) for n in range(1, 30)]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(rows).collect()}
+    plain, links = plain_similar(dict(enumerate(texts)))
+    assert len(links) > 50 and [(a, b) for a, b in links if found[a] != found[b]] == []
+    assert found == plain
+
+
+def test_missed_pairs_need_no_fingerprints(spark, documents, texts):
+    """With every document a component of its own, the exact search alone has all similar pairs."""
+    rows = simhash.placed(simhash.keyed(documents))
+    sets = {i: shingle_sets(t or "") for i, t in texts.items()}
+    ids = {i: simhash.set_id(simhash.shingle_set((t or "").encode(), 5)) for i, t in texts.items() if (t or "").split()}
+    known = simhash.wide_fingerprints(rows).where("n > 0").select(F.col("fp").alias("node"), "n", F.col("fp").alias("root")).distinct()
+    found = {(r["a"], r["b"]) for r in simhash.missed_pairs(rows, len(texts), known, 5, 0.8).collect()}
+    _, links = plain_similar({i: texts[i] for i in ids})
+    assert links and all(len(sets[a]) and (ids[a] == ids[b] or (min(ids[a], ids[b]), max(ids[a], ids[b])) in found) for a, b in links)
