@@ -24,6 +24,7 @@ for c, the sets themselves are compared."""
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -69,6 +70,8 @@ LEVEL_BITS, DEALT_BITS = 24, 8
 MARGIN = 0.05
 #: Nodes with a crowded shingle that are compared with as many others in one group.
 BLOCK = 256
+#: Rows of an edge or pair, about, for which a partition is worth its files.
+PART_ROWS = 20_000
 #: Entries (shingle, node) that a Python worker holds at once, and that are dealt to one group, about.
 HELD, GROUPED = 1 << 20, 1 << 19
 
@@ -232,6 +235,17 @@ def links(distinct: DataFrame, pair_bound: int = PAIR_BOUND) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many small rows in no more partitions than they need: each task's shuffle files take disk, empty or not."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
+def release(df: DataFrame) -> None:
+    """Let go of the shuffle files and checkpoints of finished steps now: Spark deletes them when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root (the smallest node it is connected with) of every node of the edges a, b.
 
@@ -240,16 +254,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours gets their least from partial sums, and its edges stay where they are."""
     edges = cut(edges.select("a", "b"))
     total, before = edges.count(), None
+    edges = few(edges, total)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size"))
         large = join_sized(both, least, ["a"], "inner", "size", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # now a > b: to the smallest of a's neighbours go a and its other smaller neighbours
-        large = cut(large)
+        large = cut(few(large, 2 * total))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
         moved = join_sized(large, least, ["a"], "inner", "size", total)
         small = moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small)
+        edges = cut(few(small, 2 * total))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -311,7 +326,9 @@ def similar_sets(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle_wo
     """The pairs a, b whose shingle sets have the similarity. Only the texts of their nodes (fp, file, at: a row that has
     this set) are read from the rows (file, at, text)."""
     pairs = cut(pairs.select("a", "b"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "file", "at"), "fp"))
+    size = pairs.count()
+    pairs = few(pairs, size)
+    wanted = cut(few(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), 2 * size).join(nodes.select("fp", "file", "at"), "fp"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -499,11 +516,16 @@ def similar_roots(rows: DataFrame, found: DataFrame, shingle_words: int = SIMILA
     nodes = cut(found.groupBy("fp").agg(F.count("*").alias("size"), of_set).select("fp", "size", "of_set.*"))
     wordy = nodes.where("n > 0")
     told = similar_links(wordy.select(F.col("fp").alias("node"), F.col("wide").alias("fp")), similarity)
+    told = cut(told)
+    release(nodes)
     nearest = told.withColumn("nearest", F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))).where(F.col("nearest") <= NEAREST)
     links = similar_sets(nearest, nodes, rows, shingle_words, similarity)
     linked = components(links)
-    known = wordy.join(linked, wordy["fp"] == linked["node"], "left").select(F.col("fp").alias("node"), "n", F.coalesce("root", "fp").alias("root"))
-    missed = similar_sets(missed_pairs(rows, found.count(), cut(known), shingle_words, similarity), nodes, rows, shingle_words, similarity)
+    known = cut(wordy.join(linked, wordy["fp"] == linked["node"], "left").select(F.col("fp").alias("node"), "n", F.coalesce("root", "fp").alias("root")))
+    release(nodes)
+    missed = cut(missed_pairs(rows, found.count(), known, shingle_words, similarity))
+    release(nodes)
+    missed = similar_sets(missed, nodes, rows, shingle_words, similarity)
     linked = components(links.union(missed))
     return cut(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "size", F.coalesce("root", "fp").alias("root")))
 
