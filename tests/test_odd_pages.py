@@ -21,7 +21,7 @@ def same_as_sql(spark, path, compare, name: str, pages: list[tuple]) -> None:
 CUT = [(k, f"https://a.example.com/en/{k}.html", PAGE.format(title, "Some words of a text &amp; more &lt;of it&gt;. " * 6)) for k, title in enumerate(("Of the &amp; and &amp", "One &quot;two&quot; &am", "The &lt; last &copy", "Whole &amp; well"), 1)]
 
 
-@pytest.mark.parametrize("name", ["crawl_documents", "page_content_dom"])
+@pytest.mark.parametrize("name", ["crawl_documents", "page_content_dom", "page_title"])
 def test_cut_references(spark, tmp_path, compare, name):
     same_as_sql(spark, tmp_path, compare, name, CUT)
 
