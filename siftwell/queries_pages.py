@@ -218,9 +218,11 @@ def site_names(spark, sf_dir):
 
 @query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'own' WHEN page_id % 2 = 0 THEN 'seeded' ELSE {SITE} END AS source_site, CASE WHEN page_id % 3 = 0 THEN 'mine' WHEN page_id % 2 = 0 THEN 'of seed' ELSE '' END AS category FROM pages")
 def seed_lookup(spark, sf_dir):
-    """Even pages are seeds; every fifth page has a source, every third a category of its own."""
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.normalize(F.col("url")).alias("norm_url"))
-    asked = pages.select("page_id", F.concat("url", F.lit("&n="), "page_id").alias("url"), F.concat("norm_url", F.lit("&n="), "page_id").alias("norm_url"), F.expr("CASE WHEN page_id % 5 = 0 THEN 'own' ELSE '其他' END").alias("source_site"), F.expr("CASE WHEN page_id % 3 = 0 THEN 'mine' ELSE '' END").alias("category"))
+    """Even pages are seeds; every fifth page has a source, every third a category of its own. Each page's URL is made its
+    own by a parameter, which stands before where a fragment would be: that isn't part of what is looked up."""
+    bare = F.regexp_replace(F.coalesce("url", F.lit("")), "#.*$", "")
+    own_url = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&n=").otherwise("?n="), "page_id")
+    asked = read(spark, sf_dir, "pages").select("page_id", own_url.alias("url"), F.expr("CASE WHEN page_id % 5 = 0 THEN 'own' ELSE '其他' END").alias("source_site"), F.expr("CASE WHEN page_id % 3 = 0 THEN 'mine' ELSE '' END").alias("category"))
     seeds = asked.where("page_id % 2 = 0").select("url", F.lit("seeded").alias("source_site"), F.lit("of seed").alias("category"), F.col("page_id").alias("seq"))
     asked = asked.withColumn("norm_url", urls.normalize(F.col("url")))
     return frontier.seed_info(asked, seeds, SITES).select("page_id", "source_site", "category")

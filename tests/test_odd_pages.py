@@ -30,3 +30,9 @@ def test_references_without_semicolon_stay():
     page = Page('<p>a &amp b &copy;&notit; &#65 &nope; <a href="/p?a=1&copy=2&amp;c=3">x</a>', "http://h/")
     assert page.root.text("|") == "a &amp b ©&notit; A &nope;|x"
     assert page.links()[0]["url"] == "http://h/p?a=1&copy=2&c=3"
+
+
+def test_seeds_apart_by_number(spark, tmp_path, compare):
+    """The same page with and without a fragment, an odd and an even one; parameters, a query, no URL."""
+    urls = ("http://a.example.net/1#top", "http://a.example.net/1#top", "http://a.example.net/1", "http://a.example.net/1;v", "http://a.example.net/1;v", "http://m.b.org/?p=1#x", "http://m.b.org/?p=1", None)
+    same_as_sql(spark, tmp_path, compare, "seed_lookup", [(k, u, "") for k, u in enumerate(urls, 1)])
