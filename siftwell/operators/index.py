@@ -6,7 +6,7 @@ needs no other table to score. Source tokens count as title terms but not in the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import segment
-from siftwell.functions.text import tokens
+from siftwell.functions.text import once, tokens
 from siftwell.schema import with_defaults
 
 Analyzer = Callable[[Column], Column]
+#: Whether a term is wanted.
+Keep = Callable[[Column], Column]
 
 
 def analyzer(stop_words: Iterable[str] = (), segmented: bool | None = None) -> Analyzer:
@@ -33,20 +35,52 @@ def analyzed(docs: DataFrame, analyze: Analyzer) -> DataFrame:
     return docs.select("doc_id", *(analyze(F.col(c)).alias(n) for c, n in (("title", "title_tokens"), ("source_site", "source_tokens"), ("content", "content_tokens"))))
 
 
-def postings_of(rows: DataFrame, terms: Iterable[str] | None = None) -> DataFrame:
-    """field, term, doc_id, tf, size. With terms, only theirs, and other tokens are dropped before any are exploded."""
-    fields = {"title": F.concat("title_tokens", "source_tokens"), "content": F.col("content_tokens")}
-    sizes = {"title": F.size("title_tokens"), "content": F.size("content_tokens")}
-    if terms is not None:
-        wanted = list(terms)
-        fields = {k: F.filter(v, lambda t: t.isin(wanted)) for k, v in fields.items()}
-    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("terms"), sizes[k].alias("size")) for k, v in fields.items())))
-    rows = rows.select("doc_id", parts.alias("f")).select("doc_id", "f.field", "f.size", F.explode("f.terms").alias("term"))
-    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.max("size").alias("size"))
+def counts(tokens: Column) -> Column:
+    """Each token of an array once, with its number: array of term, tf. By sorting, within the row."""
 
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda b: F.transform(b, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).alias("tf")))
+        return once(begins, run)
 
-def lengths_of(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.size("title_tokens").alias("title_len"), F.size("content_tokens").alias("content_len"))
+    return F.when(F.size(tokens) > 0, once(F.sort_array(tokens), runs))
+
+
+def counted(rows: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """doc_id, title_len, content_len, title, content: what an index is made of, with the counts of each field's terms."""
+    kept = lambda c: F.filter(c, keep) if keep else c
+    title, content = F.concat(kept(F.col("title_tokens")), kept(F.col("source_tokens"))), kept(F.col("content_tokens"))
+    return lengths_of(rows, counts(title).alias("title"), counts(content).alias("content"))
+
+
+def postings_of(rows: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """field, term, doc_id, tf, size. With keep, only of the terms that it says yes to: others are dropped first.
+
+    Terms are counted within a row, so nothing is shuffled but the ids, and the postings of ids that stand in several rows."""
+    return postings_in(counted(rows, keep))
+
+
+def postings_in(counted: DataFrame) -> DataFrame:
+    """The postings of counted()."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms"), F.col(f + "_len").alias("size")) for f in ("title", "content")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.size", F.explode("f.terms").alias("t"))
+        return rows.select("field", "t.term", "doc_id", "t.tf", "size")
+
+    once, again = by_repetition(counted)
+    return dealt(once).union(dealt(again).groupBy("field", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.max("size").alias("size")))
+
+
+def by_repetition(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id no other row has, and the others. Only ids are shuffled; those that repeat go to all executors."""
+    repeated = F.broadcast(rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    same = rows["doc_id"].eqNullSafe(repeated["_id"])
+    return rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi")
+
+
+def lengths_of(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select("doc_id", F.size("title_tokens").alias("title_len"), F.size("content_tokens").alias("content_len"), *more)
 
 
 def sums_of(lengths: DataFrame) -> DataFrame:
@@ -108,7 +142,19 @@ class Index:
         return self.corpus_stats.select(F.col("n_docs").alias("doc_count")).join(terms)  # one row each
 
     def lookup(self, terms: Iterable[str]) -> DataFrame:
-        return self.postings.where(F.col("term").isin(list(terms)))
+        return self.of(one_of(terms)).postings
+
+    def of(self, keep: Keep) -> Index:
+        """The same index with the terms only that keep says yes to. Where it has just been built, the others aren't counted."""
+        if self.rows is None:
+            return replace(self, postings=self.postings.where(keep(F.col("term"))), term_stats=self.term_stats.where(keep(F.col("term"))))
+        postings = postings_of(self.rows, keep)
+        return replace(self, postings=postings, term_stats=term_statistics(postings), rows=None)
+
+
+def one_of(terms: Iterable[str]) -> Keep:
+    wanted = list(terms)
+    return lambda t: t.isin(wanted)
 
 
 def build(docs: DataFrame, stop_words: Iterable[str] = (), analyze: Analyzer | None = None) -> Index:
