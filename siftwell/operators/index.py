@@ -202,7 +202,25 @@ def append(spark: SparkSession, path: str, docs: DataFrame, batch: int, stop_wor
 
 def keywords(docs: DataFrame, column: str = "content", k: int = 10, analyze: Analyzer | None = None) -> DataFrame:
     """doc_id, rank, term, tf: the k most frequent terms of each text, ties by first occurrence."""
-    found = docs.select("doc_id", F.posexplode((analyze or analyzer())(F.col(column))).alias("at", "term"))
+    tokens = (analyze or analyzer())(F.col(column))
+    once_each, repeated = by_repetition(docs.select("doc_id", F.col(column)))
+    best = once_each.select("doc_id", F.posexplode(F.slice(frequent(tokens), 1, k)).alias("at", "t"))
+    best = best.select("doc_id", (F.col("at") + 1).alias("rank"), "t.term", "t.tf")
+    # the texts of an id that several rows have count together
+    found = repeated.select("doc_id", F.posexplode(tokens).alias("at", "term"))
     counted = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("at").alias("first_at"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("tf"), "first_at"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "rank", "term", "tf")
+    return best.union(counted.withColumn("rank", rank).where(F.col("rank") <= k).select("doc_id", "rank", "term", "tf"))
+
+
+def frequent(tokens: Column) -> Column:
+    """The tokens of an array by frequency, then first occurrence: array of term, tf. Within the row."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        size = lambda b, p, k: (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long")
+        run = lambda b: F.transform(b, lambda p, k: F.struct((-size(b, p, k)).alias("less"), F.get(s, p)["at"].alias("at"), F.get(s, p)["term"].alias("term")))
+        return F.transform(F.sort_array(once(begins, run)), lambda r: F.struct(r["term"].alias("term"), (-r["less"]).alias("tf")))
+
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    return once(F.sort_array(placed), lambda s: F.when(F.size(s) > 0, runs(s)))

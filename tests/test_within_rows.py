@@ -51,3 +51,7 @@ def test_tokens(spark):
 def test_postings_are_not_shuffled(spark, sf_dir):
     built = index.build(corpus(spark, sf_dir))
     assert not {"field", "doc_id"} & {*shuffled(built.postings), *shuffled(built.lookup(WORDS.split()))}
+
+
+def test_keywords_are_not_shuffled(spark, sf_dir):
+    assert "doc_id" not in shuffled(index.keywords(corpus(spark, sf_dir)))
