@@ -174,15 +174,17 @@ def write_batch(batch: Index, path: str, number: int) -> None:
 
     The statistics of a batch are those of the batch before and its own postings' added up; nothing older is counted
     again. They get a folder of their own, and a mark at the end makes them the current ones, so searches see one state
-    or the other. The analysed documents are kept until they are written, so that texts are cut into tokens once."""
-    spark = batch.docs.sparkSession
+    or the other. Of documents that have just been analysed the counts are kept until they are written, so that texts are
+    cut into tokens once."""
+    spark, postings, lengths, kept = batch.docs.sparkSession, batch.postings, batch.doc_len, None
     if batch.rows is not None:
-        batch.rows.persist(StorageLevel.DISK_ONLY)
-    clustered = batch.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
-    for name, rows in (("docs", batch.docs), ("postings", clustered), ("doc_len", batch.doc_len)):
+        kept = counted(batch.rows).persist(StorageLevel.DISK_ONLY)
+        postings, lengths = postings_in(kept), kept.select(*lengths.columns)
+    clustered = postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+    for name, rows in (("docs", batch.docs), ("postings", clustered), ("doc_len", lengths)):
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-    if batch.rows is not None:
-        batch.rows.unpersist()
+    if kept is not None:
+        kept.unpersist()
     own = term_statistics(spark.read.parquet(f"{path}/postings/batch={number}"))
     lengths = sums_of(spark.read.parquet(f"{path}/doc_len/batch={number}"))
     before = latest(spark, path, number) if number else None

@@ -22,11 +22,15 @@ def few(spark, tmp_path):
     return str(tmp_path), con
 
 
-def shuffled(rows) -> list[str]:
-    """The columns by which rows were shuffled when they were collected."""
+def ran(rows) -> str:
+    """The plan by which rows were collected."""
     rows.collect()
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    return [line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in plan.split("== Initial Plan")[0].split("\n") if "Exchange hashpartitioning(" in line]
+    return rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+
+
+def shuffled(rows) -> list[str]:
+    """The columns by which rows were shuffled."""
+    return [line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in ran(rows).split("\n") if "Exchange hashpartitioning(" in line]
 
 
 @pytest.mark.parametrize("name", ["postings_tf", "term_document_frequency"])
@@ -53,5 +57,19 @@ def test_postings_are_not_shuffled(spark, sf_dir):
     assert not {"field", "doc_id"} & {*shuffled(built.postings), *shuffled(built.lookup(WORDS.split()))}
 
 
-def test_keywords_are_not_shuffled(spark, sf_dir):
-    assert "doc_id" not in shuffled(index.keywords(corpus(spark, sf_dir)))
+def test_keywords_within_a_row(spark):
+    rows = spark.createDataFrame([("b a c a b d",), ("x",), ("",)], "t string").select(index.frequent(text.tokens(F.col("t"))).alias("f"))
+    assert [[tuple(x) for x in r["f"] or []] for r in rows.collect()] == [[("b", 2), ("a", 2), ("c", 1), ("d", 1)], [("x", 1)], []]
+
+
+def test_saving_keeps_counts(spark, sf_dir, tmp_path, monkeypatch):
+    """What is kept while an index is written are counts, not tokens."""
+    frame, plans = type(spark.range(1)), []
+    f = frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *c, **k: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or f(self, *c, **k))
+    docs = corpus(spark, sf_dir)
+    index.build(docs).save(str(tmp_path / "index"))
+    kept = plans[0].split("InMemoryRelation [")[1].split("]")[0]
+    assert "title_len" in kept and "tokens" not in kept
+    saved = index.Index.load(spark, str(tmp_path / "index"))
+    assert saved.postings.count() == index.build(docs).postings.count() and saved.doc_len.count() == docs.count()
