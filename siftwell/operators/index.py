@@ -62,14 +62,30 @@ def postings_of(rows: DataFrame, keep: Keep | None = None) -> DataFrame:
 
 def postings_in(counted: DataFrame) -> DataFrame:
     """The postings of counted()."""
+    one, again = by_repetition(counted)
+    return dealt(one).union(summed(dealt(again)))
+
+
+def dealt(counted: DataFrame) -> DataFrame:
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("terms"), F.col(f + "_len").alias("size")) for f in ("title", "content")))
+    rows = counted.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.size", F.explode("f.terms").alias("t"))
+    return rows.select("field", "t.term", "doc_id", "t.tf", "size")
+
+
+def summed(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.max("size").alias("size")).select("field", "term", "doc_id", "tf", "size")
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.size", F.explode("f.terms").alias("t"))
-        return rows.select("field", "t.term", "doc_id", "t.tf", "size")
 
-    once, again = by_repetition(counted)
-    return dealt(once).union(dealt(again).groupBy("field", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.max("size").alias("size")))
+def hits_of(index: Index, keep: Keep) -> DataFrame:
+    """doc_id, hits (array of field, term, tf, size): each document's postings of the terms that keep says yes to. Of an index
+    that has just been built, within its rows."""
+    entry = F.struct("field", "term", "tf", "size")
+    gathered = lambda postings: postings.groupBy("doc_id").agg(F.collect_list(entry).alias("hits"))
+    if index.rows is None:
+        return gathered(index.of(keep).postings)
+    one, again = by_repetition(counted(index.rows, keep))
+    of_field = lambda f: F.transform(F.col(f), lambda x: F.struct(F.lit(f).alias("field"), x["term"].alias("term"), x["tf"].alias("tf"), F.col(f + "_len").alias("size")))
+    return one.select("doc_id", F.flatten(F.filter(F.array(of_field("title"), of_field("content")), lambda f: f.isNotNull())).alias("hits")).union(gathered(summed(dealt(again))))
 
 
 def by_repetition(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

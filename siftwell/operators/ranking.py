@@ -53,7 +53,11 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def saturation(tf: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
-    mean = F.when(mean > 0, mean).otherwise(F.lit(1.0))
+    return saturated(tf, length, F.when(mean > 0, mean).otherwise(F.lit(1.0)), k1, b)
+
+
+def saturated(tf, length, mean, k1: float, b: float):
+    """Of columns or of arrays of numbers."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
@@ -61,16 +65,20 @@ def bm25(postings: DataFrame, term_stats: DataFrame, corpus_stats: DataFrame, te
     """terms: query_id, term (repeats count). query_id, doc_id, bm25: fields' scores, weighed and summed over the terms.
 
     The terms meet their statistics first; what is left joins the postings, which have all that the score needs."""
+    hits = postings.join(gains(term_stats, corpus_stats, terms, weights), ["field", "term"])
+    part = F.when(F.col("size") > 0, F.col("gain") * saturation(F.col("tf"), F.col("size"), F.col("mean"), k1, b)).otherwise(F.lit(0.0))
+    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+
+
+def gains(term_stats: DataFrame, corpus_stats: DataFrame, terms: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """terms as in bm25(). query_id, term, field, gain, mean, of the terms that the index has: all but a document's share."""
     weights = weights or FIELD_WEIGHTS
     wanted = terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     stats = corpus_stats.select(F.col("n_docs").cast("double").alias("n_docs"), "avg_title_len", "avg_content_len")
     wanted = wanted.join(term_stats.where(F.col("df") > 0), "term").join(F.broadcast(stats))  # one row
     in_title = F.col("field") == "title"
     weight = F.when(in_title, F.lit(weights["title"])).otherwise(F.lit(weights["content"]))
-    wanted = wanted.select("query_id", "term", "field", (weight * F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("gain"), F.when(in_title, F.col("avg_title_len")).otherwise(F.col("avg_content_len")).alias("mean"))
-    hits = postings.join(wanted, ["field", "term"])
-    part = F.when(F.col("size") > 0, F.col("gain") * saturation(F.col("tf"), F.col("size"), F.col("mean"), k1, b)).otherwise(F.lit(0.0))
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    return wanted.select("query_id", "term", "field", (weight * F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("gain"), F.when(in_title, F.col("avg_title_len")).otherwise(F.col("avg_content_len")).alias("mean"))
 
 
 def rounded(score: Column, digits: int) -> Column:
