@@ -15,17 +15,20 @@ def wildcard_regex(pattern: str) -> str:
     return "^" + "".join({"*": ".*", "?": "."}.get(c, re.sub(r"([^\w\s])", r"\\\1", c)) for c in pattern) + "$"
 
 
-def wildcard_terms(vocabulary: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """The terms that a pattern fits. What stands before its first wildcard is a prefix that the scan can push down."""
+def fits(pattern: str, term: Column) -> Column:
+    """Whether a pattern fits a term. What stands before its first wildcard is a prefix that a scan can push down."""
     if not pattern:
-        return vocabulary.where(F.lit(False))
-    if ignore_case:
-        pattern = pattern.lower()
+        return F.lit(False)
     prefix = re.split(r"[*?]", pattern, maxsplit=1)[0]
     if prefix == pattern:
-        return vocabulary.where(F.col("term") == pattern)
-    found = vocabulary.where(F.col("term").startswith(prefix)) if prefix else vocabulary
-    return found if pattern == prefix + "*" else found.where(F.col("term").rlike("(?s)" + wildcard_regex(pattern)))
+        return term == pattern
+    begins = term.startswith(prefix) if prefix else F.lit(True)
+    return begins if pattern == prefix + "*" else begins & term.rlike("(?s)" + wildcard_regex(pattern))
+
+
+def wildcard_terms(vocabulary: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """The terms that a pattern fits."""
+    return vocabulary.where(fits(pattern.lower() if ignore_case else pattern, F.col("term")))
 
 
 def similar_terms(vocabulary: DataFrame, queries: DataFrame, max_distance: int = MAX_DISTANCE, limit: int = 10) -> DataFrame:

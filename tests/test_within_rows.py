@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text
 from siftwell.operators import index
+from siftwell.plans.search import SearchEngine
 from siftwell.queries import QUERIES, SQL, WORDS, corpus
 
 TEXTS = ("The thing with the thing\n2024 12 x3 3x", "the the a b c d e f", "", "with ünder Ünder 7", None, "ab cd ef <b>the</b> http://x/y thing")
@@ -73,3 +74,13 @@ def test_saving_keeps_counts(spark, sf_dir, tmp_path, monkeypatch):
     assert "title_len" in kept and "tokens" not in kept
     saved = index.Index.load(spark, str(tmp_path / "index"))
     assert saved.postings.count() == index.build(docs).postings.count() and saved.doc_len.count() == docs.count()
+
+
+def test_searches_without_terms_score_nothing(spark, sf_dir):
+    """A search that finds no term reads no text; a wildcard counts only the terms that it fits."""
+    engine = SearchEngine(index.build(corpus(spark, sf_dir)))
+    for asked, kind in (("qqqqzzzz", "normal"), ("zzzz*", "wildcard"), ("", "normal"), ("12 34", "multi")):
+        plan = ran(engine.ranked(asked, kind)[0])
+        assert "FileScan" not in plan and "Exchange" not in plan
+    assert engine.ranked("thi*", "wildcard")[0].count() > 0
+    assert "field" not in shuffled(engine.fitting("thi*").postings)
